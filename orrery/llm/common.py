@@ -59,3 +59,35 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("orrery", os.path.relpath(full, root)))
     sc.addPyFile(target)
     sc._orrery_shipped = True
+
+
+def map_rows(df: DataFrame, make, schema: str, chunk: int = 1000) -> DataFrame:
+    """Rows of df through Python, in Arrow batches: make() is called once a task and gives f(*values) -> iterable of output tuples.
+
+    Values are read from a batch one row at a time, and output leaves in chunks, so that memory follows one batch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        f, out = make(), []
+
+        def flush():
+            cols = list(zip(*out)) if out else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                out.extend(f(*[c[i].as_py() for c in b.columns]))
+                if len(out) >= chunk:
+                    yield flush()
+                    out.clear()
+        if out:
+            yield flush()
+
+    return df.mapInArrow(run, schema)
