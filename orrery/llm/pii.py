@@ -29,7 +29,7 @@ from orrery.llm.common import map_rows
 #: Kinds of base spans, in the order of ties; the field's own kinds follow.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-MAX_TOKENS = 14
+MAX_TOKENS = 18
 N_TRAINING = 360
 EPOCHS = 12
 SEED = 7

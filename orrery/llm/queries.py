@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, license_scan, pii, quality_rules, url_filter
+from orrery.llm import bpe, chat, decontam, html_extract, license_scan, pii, quality_rules, url_filter, weak_label
 from orrery.llm.common import table
 
 
@@ -22,10 +22,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op5_weak_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weak_label.score(docs, weak_label.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -34,5 +47,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op6_license_scan, op9_url_filter, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_chat_rotation, op5_weak_label, op6_license_scan, op8_html_extraction, op9_url_filter, op10_bpe)}
 ORACLES = {"op9_url_filter": url_filter.oracle_sql()}
