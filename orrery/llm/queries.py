@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, chat, decontam, html_extract, license_scan, pii, quality_rules, url_filter, weak_label
+from orrery.llm import bpe, chat, decontam, html_extract, license_scan, lsh_forest, pii, quality_rules, url_filter, weak_label
 from orrery.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -47,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_chat_rotation, op5_weak_label, op6_license_scan, op8_html_extraction, op9_url_filter, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_chat_rotation, op5_weak_label, op6_license_scan, op7_lsh_forest, op8_html_extraction, op9_url_filter, op10_bpe)}
 ORACLES = {"op9_url_filter": url_filter.oracle_sql()}
