@@ -1,0 +1,252 @@
+"""The operators' Python parts against brute force, without Spark."""
+
+import html
+import random
+import re
+
+import numpy as np
+import pytest
+
+from orrery.llm import bpe, html_extract, license_scan, lsh_forest, pii, quality_rules, url_filter, weak_label
+
+DOCS = "/root/testdata/sf0.001/documents.parquet"
+
+
+def texts():
+    import duckdb
+
+    return [t for (t,) in duckdb.connect().execute(f"select text from '{DOCS}'").fetchall()]
+
+
+ODD = ["", " ", "\n", "a", "ß é é　\x85\x1c", "<|endoftext|>x<|endoftext|>", "a" * 5000, "9" * 3000, "@" * 500, "+" * 500, "퟿\U0010ffff", "x\n" * 2000]
+
+
+# --- PII ---
+
+
+def brute_base(t):
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        total = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and total % 10 == 0:
+            out.append((m.start(), m.end(), "card"))
+    out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda x: (x[0], pii.BASE_KINDS.index(x[2])))
+
+
+def test_base_spans_equal_the_plain_patterns():
+    r = random.Random(3)
+    made = ["".join(r.choices("a1234567890.@%+- ()\n", weights=[3] + [2] * 10 + [6, 4, 1, 3, 3, 3, 1, 1, 1], k=r.randint(0, 60))) for _ in range(20000)]
+    for t in [*made, *texts(), *(x for x in ODD if len(x) < 1000)]:
+        assert pii.base_spans(t) == brute_base(t)
+
+
+def test_field_finds_written_out_data_and_leaves_numbers_alone():
+    crf = pii.trained()
+    found = lambda t: [(t[s:e], k) for s, e, k in pii.find(t, crf)[1]]
+    assert found('the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" is') == [("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "secret")]
+    assert found("write to ann [at] host [dot] com now") == [("ann [at] host [dot] com", "email")]
+    assert found("call (743) 555-3824 today") == [("(743) 555-3824", "phone")]
+    for t in ("on 2024-05-17 at 10:30", "version 1.2.3 of 40 pages", "in 1999 there were 12,345.60 left", "", None, "look at that"):
+        assert pii.find(t, crf)[1] == [], t
+    held_out = pii.training_lines(200, seed=5)
+    good = sum(pii.added_spans(t, b, crf) == [g for g in gold if not any(g[0] < e and s < g[1] for s, e, _ in b)] for t, gold in held_out for b in [pii.base_spans(t)])
+    assert good >= 185
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    r = np.random.default_rng(1)
+    crf = pii.SemiCRF()
+    crf.follow = r.normal(size=crf.follow.shape)
+    k = len(pii.KINDS)
+    for _ in range(30):
+        n = int(r.integers(1, 6))
+        segments = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1) if r.random() < 0.7]
+        scores = r.normal(size=(len(segments), k))
+
+        def every(at, before):
+            if at == n:
+                yield 0.0, []
+                return
+            for s, rest in every(at + 1, k):
+                yield s, rest
+            for x, (i, j) in enumerate(segments):
+                if i == at:
+                    for y in range(k):
+                        for s, rest in every(j, y):
+                            yield s + scores[x, y] + crf.follow[before, y], [(i, j, y), *rest]
+
+        options = list(every(0, k))
+        best = max(s for s, _ in options)
+        got = crf.decode(n, segments, scores)
+        assert any(abs(s - best) < 1e-9 and rest == got for s, rest in options)
+        assert np.isclose(crf.expectations(n, segments, scores)[0], np.logaddexp.reduce([s for s, _ in options]))
+
+
+def test_redaction():
+    t = "mail a.b@c.de or call +1 (743) 555-3824."
+    assert pii.redact_text(t, pii.find(t, pii.trained())[1]) == "mail [EMAIL] or call [PHONE]."
+
+
+# --- BPE ---
+
+
+def test_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    library = Tokenizer.from_file(path)
+    codec = bpe.Codec(bpe.Vocabulary(open(path, encoding="utf-8").read()))
+    r = random.Random(4)
+    made = ["".join(chr(r.choice([r.randint(1, 127), r.randint(128, 0x2FFF), r.randint(0x1F300, 0x1FAFF)])) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    every = [*texts(), *ODD, *made]
+    want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    assert codec.encode_batch(every) == want
+    assert [codec.decode(i) for i in want] == [library.decode(i, skip_special_tokens=False) for i in want] == every
+
+
+# --- licences ---
+
+
+def test_license_words_and_phrases():
+    s = license_scan.Scanner()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    r = random.Random(5)
+    made = [" ".join(r.choices(["cc", "by", "CC", "BY,", "all", "rights", "reserved", "Reserved.", "general", "public", "license", "x", "é", "ccby", "-"], k=r.randint(0, 25))) for _ in range(3000)]
+    for t in [*made, *texts(), *ODD]:
+        low = t.translate(license_scan.LOWER)
+        ws = word.findall(low)
+        places = sorted((i, label) for phrase, label in license_scan.PHRASES for i in range(len(ws)) if ws[i : i + len(phrase.split())] == phrase.split())
+        got = s.scan(t)
+        assert got[0] == len(ws) and got[1] == len(places)
+        assert got[2:4] == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert got[4] == ",".join(sorted({x for _, x in places}))
+        assert 0 <= got[6] <= 1 and set(filter(None, got[4].split(","))) <= set(got[5].split(","))
+
+
+def test_notices_with_errors():
+    s = license_scan.Scanner()
+    r = random.Random(6)
+    for notice, label, k in s.notices:
+        for _ in range(10):
+            t = list(notice)
+            for _ in range(r.randint(0, k)):
+                i = r.randrange(1, len(t) - 1)
+                t[i : i + 1] = r.choice([[], [t[i], "q"], ["q"]])
+            found = s.approximate("some words. " + "".join(t) + " and more")
+            assert any(x[2] == label or x[3] <= k for x in found), ("".join(t), label)
+    assert s.scan("nothing of the kind here")[5:7] == ("", 0.0)
+    assert s.scan(None)[:4] == (0, 0, None, None)
+
+
+# --- near duplicates ---
+
+
+def test_shingles_and_similarity():
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for t in [*texts()[:80], *ODD, "A b C d e", "a B c D E"]:
+        ws = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        want = {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)} if len(ws) >= 4 else {tuple(ws)} if ws else set()
+        assert len(lsh_forest.shingle_set(t, 4)) == len(want)
+    assert (lsh_forest.shingle_set("A b C d e", 4) == lsh_forest.shingle_set("a B c D E", 4)).all()
+    a, b = np.arange(10, dtype=np.uint64), np.arange(8, dtype=np.uint64)
+    assert lsh_forest.similar(a, b) and not lsh_forest.similar(a, b[:7]) and not lsh_forest.similar(a, b[:0])
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    r = np.random.default_rng(7)
+    missed = 0
+    for _ in range(300):
+        x = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+        a, b = x[:810], x[90:]  # 720 of 900 in common
+        (ka, sa), (kb, sb) = (lsh_forest.labels_and_sketch(lsh_forest.signature(s)) for s in (a, b))
+        together = any(p[: lsh_forest.PREFIX_BYTES] == q[: lsh_forest.PREFIX_BYTES] for p, q in zip(ka, kb))
+        missed += not together or lsh_forest._agree(np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)) < lsh_forest.MIN_AGREE
+    assert missed == 0
+
+
+# --- pages ---
+
+
+def test_article_text_of_all_pages():
+    import duckdb
+
+    for (h,) in duckdb.connect().execute("select html from '/root/testdata/sf0.001/pages.parquet'").fetchall():
+        inner = re.search(r"<article>(.*?)</article>", h, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+        assert html_extract.read_page(h)[0] == want
+
+
+@pytest.mark.parametrize(
+    "page, content, open_blocks",
+    [
+        (None, "", []),
+        ("", "", []),
+        ("plain", "", ["plain"]),
+        ("<article><p>a&nbsp;&amp;<b>b</b>c<p>d<br>e</article><footer>f</footer>", "a &bc d e", []),
+        ("<main><h1>t</h1><div class='share-buttons'>s</div>x</main>", "t x", []),
+        ("<article>a<section id=comments><article>no</article></section>b<form>f</form></article>", "a b", []),
+        ("<body><nav>m</nav><div>x</div><script>var a='<div>no</div>'</script><div class='cookie notice'>c</div></body>", "", ["x"]),
+        ("<article>cut off <b", "cut off <b", []),
+        ("<!-- never closed <article>", "", []),
+    ],
+)
+def test_pages(page, content, open_blocks):
+    assert html_extract.read_page(page)[:2] == (content, open_blocks)
+
+
+def test_suffix_array_counts_runs_like_brute_force():
+    r = random.Random(8)
+    frames = [[r.choice("abc\x00") for _ in range(r.randint(0, 40))] for _ in range(12)]
+    want: dict = {}
+    for p, f in enumerate(frames):
+        for i in range(len(f) - 3):
+            run = f[i : i + 4]
+            if "\x00" not in run:
+                want.setdefault(html_extract.window_key(run), set()).add(p)
+    assert html_extract.shared_runs(frames, 4) == {k: len(v) for k, v in want.items()}
+
+
+# --- rules, labels, urls ---
+
+
+def test_decision_list_is_learned():
+    r = random.Random(9)
+    cuts = {f: [0.5] for f in quality_rules.FEATURES}
+    rows = []
+    for _ in range(400):
+        bins = {f: r.randint(0, 1) for f in quality_rules.FEATURES}
+        bad = bins["symbol_share"] and bins["n_words"]
+        rows.append((bins, 0 if bad else 1, 1))
+    rules = quality_rules.learn(cuts, rows)
+    assert rules and all(any(x.holds({f: b[f] for f in b}) for x in rules) == (label == 0) for b, label, _ in rows)
+    assert quality_rules.learn(cuts, []) == []
+
+
+def test_accuracies_are_recovered():
+    r = np.random.default_rng(10)
+    truth = r.random(20000) < 0.7
+    acc, cover = (0.95, 0.8, 0.7), (0.9, 0.6, 0.8)
+    votes = np.stack([np.where(r.random(20000) < c, np.where((r.random(20000) < a) == truth, 1, -1), 0) for a, c in zip(acc, cover)], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    prior, got, posterior = weak_label.expectation_maximisation([(tuple(p), int(c)) for p, c in zip(patterns.tolist(), counts)])
+    assert abs(prior - 0.7) < 0.06 and np.allclose(got.mean(1), acc, atol=0.06)
+    assert weak_label.expectation_maximisation([])[0] == 0.5
+
+
+def test_scorer_learns_and_one_sided_scorer_never_favours():
+    r = np.random.default_rng(11)
+    rows = [np.append(r.choice(np.arange(10, 500), 20, replace=False), [1] * (i % 4 == 0)).astype(np.int64) for i in range(800)]
+    good = np.array([0.02 if i % 4 == 0 else 0.98 for i in range(800)])
+    for one_sided in (False, True):
+        w, b = weak_label.train_scorer(rows, good, one_sided)
+        assert all((w[x].sum() + b >= 0) == (g > 0.5) for x, g in zip(rows, good))
+    assert (w <= 0).all()
+
+
+def test_url_patterns():
+    assert url_filter.tokens_of("^free-bets^") == ["free", "bets"] and url_filter.tokens_of("ads*track^") == []
+    p = re.compile(url_filter.regex_of("^ads-track^"))
+    assert p.search("http://ads-track.example.com") and p.search("x/ads-track") and not p.search("http://bads-track.com")
