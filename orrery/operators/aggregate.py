@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from orrery.functions import modes as M
 from orrery.functions import vectors as V
+from orrery.operators import distributed
 
 KEY = ["source_id"]
 DEFAULT_MODES = "mean,sum,max,median,cosmean,rm1pc,softmax,geom,medoid,tmean@0.8,winsor@0.1,kmeans@4,pcfuse@2,svdshrink@0.1,huber@0.2,attn2@10,subtrim@3,0.8"
@@ -153,6 +154,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n < V.TINY, 1.0, n)
 
 
+def by_size(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], apart: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
+    """Sources that fit a task by the kernel, larger ones by rounds over all rows."""
+    large = distributed.large_sources(df, distributed.MAX_ROWS if limit is None else limit)
+    if not large:
+        return grouped(df, kernel)
+    ids = F.broadcast(df.sparkSession.createDataFrame([(s,) for s in large], "source_id bigint"))  # at most rows / limit
+    return grouped(df.join(ids, "source_id", "left_anti"), kernel).unionByName(apart(df.join(ids, "source_id", "left_semi")).select("source_id", "embedding"))
+
+
 def grouped(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """kernel(unit rows in input order) for each source; a source of one publication is that publication."""
 
@@ -252,16 +262,16 @@ AGGREGATORS: dict[str, Callable[[DataFrame, tuple, int, float], DataFrame]] = {
     "cosmean": lambda d, p, seed, tau: cosmean(d),
     "rm1pc": lambda d, p, seed, tau: without_first_component(d),
     "softmax": lambda d, p, seed, tau: softmax(d, tau),
-    "geom": lambda d, p, seed, tau: grouped(d, geometric_median),
+    "geom": lambda d, p, seed, tau: by_size(d, geometric_median, distributed.geometric_median),
     "medoid": lambda d, p, seed, tau: medoid(d),
     "tmean": lambda d, p, seed, tau: trimmed_mean(d, _parameter(p, 0, 0.8)),
     "winsor": lambda d, p, seed, tau: winsorised(d, _parameter(p, 0, 0.1)),
     "kmeans": lambda d, p, seed, tau: grouped(d, lambda x: largest_cluster(x, M.whole(_parameter(p, 0, 4), 2), seed)),
-    "pcfuse": lambda d, p, seed, tau: grouped(d, lambda x: fused_components(x, M.whole(_parameter(p, 0, 2), 1))),
-    "svdshrink": lambda d, p, seed, tau: grouped(d, lambda x: shrunk_components(x, _parameter(p, 0, 0.1))),
-    "huber": lambda d, p, seed, tau: grouped(d, lambda x: huber_centre(x, _parameter(p, 0, 0.2))),
+    "pcfuse": lambda d, p, seed, tau: by_size(d, lambda x: fused_components(x, M.whole(_parameter(p, 0, 2), 1)), lambda large: distributed.fused_components(large, M.whole(_parameter(p, 0, 2), 1))),
+    "svdshrink": lambda d, p, seed, tau: by_size(d, lambda x: shrunk_components(x, _parameter(p, 0, 0.1)), lambda large: distributed.shrunk_components(large, _parameter(p, 0, 0.1))),
+    "huber": lambda d, p, seed, tau: by_size(d, lambda x: huber_centre(x, _parameter(p, 0, 0.2)), lambda large: distributed.huber_centre(large, _parameter(p, 0, 0.2))),
     "attn2": lambda d, p, seed, tau: attention(d, _parameter(p, 0, 10.0)),
-    "subtrim": lambda d, p, seed, tau: grouped(d, lambda x: subspace_trimmed(x, M.whole(_parameter(p, 0, 3), 1), M.clamp(_parameter(p, 1, 0.8), 0.05, 1.0))),
+    "subtrim": lambda d, p, seed, tau: by_size(d, lambda x: subspace_trimmed(x, M.whole(_parameter(p, 0, 3), 1), M.clamp(_parameter(p, 1, 0.8), 0.05, 1.0)), lambda large: distributed.subspace_trimmed(large, M.whole(_parameter(p, 0, 3), 1), M.clamp(_parameter(p, 1, 0.8), 0.05, 1.0))),
 }
 
 

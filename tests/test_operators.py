@@ -85,6 +85,16 @@ def test_twins_of_iterative_modes(spark):
     assert np.allclose([vector(got, i) for i in range(3)], want)
 
 
+@pytest.mark.parametrize("mode", ["geom", "huber", "pcfuse", "svdshrink", "subtrim"])
+def test_large_sources_get_the_same_vectors(spark, monkeypatch, mode):
+    df, _ = random_pubs(spark, 90)
+    small = aggregate.AGGREGATORS[mode](df, (), 42, 10.0).orderBy("source_id").collect()
+    monkeypatch.setattr("orrery.operators.distributed.MAX_ROWS", 29)
+    large = aggregate.AGGREGATORS[mode](df.unionByName(pubs(spark, [(999, 9, 2020, [1, 2, 3, 4, 5])])), (), 42, 10.0).orderBy("source_id").collect()
+    assert [r["source_id"] for r in large] == [0, 1, 2, 9]
+    assert np.allclose([r["embedding"] for r in small], [r["embedding"] for r in large[:3]], atol=1e-5)
+
+
 def test_medoid_takes_the_first_of_equals(spark):
     df = pubs(spark, [(5, 1, 2020, [1, 0]), (6, 1, 2020, [1, 0]), (7, 1, 2020, [0, 1])])
     assert aggregate.medoid(df, with_id=True).first()["id"] == 5
