@@ -2,14 +2,17 @@
 
 A document is its set of distinct word shingles. Documents of one set are one class from the start. Each class gets
 TREES labels of DEPTH MinHash values and a sketch of one bit a value. The forest is TREES sorted orders of all labels, dealt out by
-range; in each, neighbours with a common prefix of MIN_DEPTH values or more are candidates. A region (labels with one prefix of
-MIN_DEPTH values) of up to NEIGHBOURS + 1 classes is compared as a whole; in a more crowded one the NEIGHBOURS nearest on each side are
-those with the longest common prefixes, so that the depth adapts to the region. What a crowded region leaves open, pairs of
-classes that aren't connected yet, is compared in blocks of BLOCK classes afterwards, without a cap.
+range. In each, the NEIGHBOURS next classes with a common prefix of MIN_DEPTH values or more are candidates; in a crowded region
+(labels with one prefix of MIN_DEPTH values) these are the ones with the longest common prefixes, so that the depth adapts
+to the region. The best candidate of each class, and the smallest of its close ones, are verified on the full sets and join components.
 
-Sketches drop pairs that are far below the threshold (a pair at the threshold is lost with a chance under 1e-6); the others
-are verified on the full sets of their texts, first one or two for each class, then all that would connect different components.
-A pair at similarity 0.8 shares a prefix of 3 values in none of 20 trees with a chance of 6e-7.
+Regions that still hold several components are then compared as a whole, in blocks of BLOCK classes and without a cap on
+candidates: a pair of different components is dropped if the sketches are far apart, left to the first tree that has it, and else
+verified on the full sets. A block gives only the links that connect something, so nothing grows with the square of a group but
+the comparing of classes that resemble each other and are not linked.
+
+Sketches lose a pair at the threshold with a chance under 1e-6; a pair at similarity 0.8 shares a prefix of 3 values in none of 20
+trees with a chance of 6e-7.
 
 Texts without words have the empty set: no links, a component of their own. Rows without id get no component and are kept. Rows
 that repeat an id count as one document. Ties: the smallest id stands for a component. An empty table gives an empty result.
@@ -23,12 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows, materialise, ship
+from orrery.llm.common import map_rows, materialise
 
 TREES = 20
 DEPTH = 8
 MIN_DEPTH = 3
-NEIGHBOURS = 32
+NEIGHBOURS = 4
 BLOCK = 512
 THRESHOLD = (80, 100)
 #: Sketch bits that must agree, of TREES * DEPTH: at similarity s, (1 + s) / 2 of them do; at 0.8, 90 % with a deviation of 2.4 %.
@@ -37,7 +40,6 @@ SEED = 20240229
 
 N_HASHES = TREES * DEPTH
 PREFIX_BYTES = 1 + 2 * MIN_DEPTH
-PAIR = "kind int, part int, a bigint, b bigint, agree int, key binary, n int, sketch binary"
 
 
 # --- sets and signatures ----------------------------------------------------------------------------------------------
@@ -128,6 +130,31 @@ def trees(classes: DataFrame) -> DataFrame:
     return map_rows(classes.select("doc", "n", "sig"), make, "key binary, doc bigint, n int, sketch binary", chunk=4000)
 
 
+def prefixes(classes: DataFrame) -> DataFrame:
+    """prefix, doc, comp: the regions of each class (doc, comp, sig)."""
+
+    def make():
+        def f(doc, comp, sig):
+            return [(key[:PREFIX_BYTES], doc, comp) for key in labels_and_sketch(np.frombuffer(sig, np.uint32))[0]]
+
+        return f
+
+    return map_rows(classes.select("doc", "comp", "sig"), make, "prefix binary, doc bigint, comp bigint", chunk=4000)
+
+
+def _compared(members: DataFrame) -> DataFrame:
+    """prefix, m, doc, comp, n, sketch, all (the class's prefixes in the order of trees), from prefix, m, doc, comp, n, sig."""
+
+    def make():
+        def f(prefix, m, doc, comp, n, sig):
+            keys, sketch = labels_and_sketch(np.frombuffer(sig, np.uint32))
+            return [(prefix, m, doc, comp, n, sketch, b"".join(key[:PREFIX_BYTES] for key in keys))]
+
+        return f
+
+    return map_rows(members.select("prefix", "m", "doc", "comp", "n", "sig"), make, "prefix binary, m bigint, doc bigint, comp bigint, n int, sketch binary, all binary", chunk=4000)
+
+
 # --- candidates ----------------------------------------------------------------------------------------------------------
 
 
@@ -147,106 +174,143 @@ def _columns(batch):
 
 
 def _walk(batches):
-    """Pairs of near neighbours in a sorted stretch of the forest; and its first and last rows, for the pairs across stretches."""
+    """Pairs of near neighbours in a sorted stretch of the forest. (What stands on two sides of a cut is met among the open regions.)"""
     import pyarrow as pa
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    names = [x.split(" ")[0] for x in PAIR.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-
-    def rows(cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-    def edge(kind, raw):
-        m = len(raw)
-        return rows([[kind] * m, [part] * m, [r[1] for r in raw], [None] * m, [None] * m, [r[0] for r in raw], [r[2] for r in raw], [r[3] for r in raw]])
 
-    tail: list[tuple] = []  # the last rows so far
-    n_head = 0
+    tail = None
     for batch in batches:
-        raw = list(zip(*(c.to_pylist() for c in batch.columns)))
-        if n_head < NEIGHBOURS and raw:
-            yield edge(1, raw[: NEIGHBOURS - n_head])
-            n_head += min(len(raw), NEIGHBOURS - n_head)
-        joined = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tail, *[]), [f.type for f in batch.schema])], schema=batch.schema) if tail else None
-        old = len(tail)
-        keys, doc, n, sketch = (np.concatenate(x) for x in zip(_columns(joined), _columns(batch))) if joined is not None else _columns(batch)
+        old = 0 if tail is None else tail.num_rows
+        joined = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        keys, doc, n, sketch = _columns(joined)
         a, b, agree = [], [], []
         for s in range(1, NEIGHBOURS + 1):
             lo = max(0, old - s)
             if len(doc) - s <= lo:
                 break
-            same = keys[lo : len(doc) - s] == keys[lo + s :]
-            if not same.any():
-                break  # sorted: no region is so long here
-            i = np.flatnonzero(same) + lo
-            i = i[(i + s >= old)]
-            i = i[_fits(n[i], n[i + s]) & (doc[i] != doc[i + s])]
+            i = np.flatnonzero(keys[lo : len(doc) - s] == keys[lo + s :]) + lo
+            i = i[(i + s >= old) & (doc[i] != doc[i + s]) & _fits(n[i], n[i + s])]
             close = _agree(sketch[i], sketch[i + s])
             ok = close >= MIN_AGREE
             a.append(np.minimum(doc[i], doc[i + s])[ok])
             b.append(np.maximum(doc[i], doc[i + s])[ok])
             agree.append(close[ok])
-        if a and (total := sum(map(len, a))):
-            none = [None] * total
-            yield rows([[0] * total, [part] * total, np.concatenate(a), np.concatenate(b), np.concatenate(agree).astype(np.int32), none, none, none])
-        tail = [*tail, *raw][-NEIGHBOURS:]
-    if tail:
-        yield edge(2, tail)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64()), pa.array(np.concatenate(agree), pa.int32())], names=["a", "b", "agree"])
+        tail = joined.slice(max(0, joined.num_rows - NEIGHBOURS))
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
     """a, b, agree: pairs of classes (a < b) that stand near each other in some tree."""
     ordered = trees(classes).repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
-    walked = materialise(ordered.mapInArrow(_walk, PAIR), "walk")
-    inside = walked.where("kind = 0").select("a", "b", "agree")
-    prefix = F.substring("key", 1, PREFIX_BYTES).alias("prefix")
-    left = walked.where("kind = 2").select((F.col("part") + 1).alias("part"), prefix, F.col("a").alias("a1"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
-    right = walked.where("kind = 1").select("part", prefix, F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-
-    def make():
-        bits = lambda s: np.frombuffer(s, np.uint8)
-
-        def f(a1, n1, s1, a2, n2, s2):
-            close = int(_agree(bits(s1), bits(s2)))
-            return [(min(a1, a2), max(a1, a2), close)] if a1 != a2 and close >= MIN_AGREE and _fits(np.int64(n1), np.int64(n2)) else []
-
-        return f
-
-    across = map_rows(left.join(right, ["part", "prefix"]).select("a1", "n1", "s1", "a2", "n2", "s2"), make, "a bigint, b bigint, agree int")
-    return inside.unionByName(across).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
-
-def crowded(classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs in regions too crowded for the walk, of classes that aren't connected yet: compared in blocks, all with all."""
-    forest = trees(classes).select(F.substring("key", 1, PREFIX_BYTES).alias("prefix"), "doc", "n", "sketch")
-    regions = materialise(forest.groupBy("prefix").agg(F.count("*").alias("m")).where(F.col("m") > NEIGHBOURS + 1), "regions")
-    schema = "a bigint, b bigint"
-    if regions.isEmpty():
-        return classes.sparkSession.createDataFrame([], schema)
-    members = materialise(forest.join(regions, "prefix").join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "members")
-    open_ = members.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("prefix")
+    return ordered.mapInArrow(_walk, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _groups(batches, keys: int):
+    """Rows of each run of equal first columns, from sorted batches."""
+    key, rows = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+class _Union:
+    """Components of what one task has seen; the smallest member stands for each."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def _alike(rows: list[tuple], tree: int, same_block: bool, mine: int):
+    """(i, indices of rows after it in the comparison that may be linked to it) of a block: other component, fitting size, near sketch, first met in this tree.
+
+    rows: block, doc, comp, n, sketch, all prefixes.
+    """
+    block, _, comp, n = (np.array([r[c] for r in rows]) for c in range(4))
+    sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    prefixes = np.frombuffer(b"".join(r[5] for r in rows), f"V{PREFIX_BYTES}").reshape(len(rows), TREES)
+    for i in range(len(rows)):
+        if same_block:
+            other = np.arange(i + 1, len(rows))
+        elif block[i] == mine:
+            other = np.flatnonzero(block != mine)
+        else:
+            continue
+        other = other[(comp[other] != comp[i]) & _fits(n[other], n[i])]
+        other = other[_agree(sketch[other], sketch[i]) >= MIN_AGREE]
+        if len(other) and tree:
+            other = other[~(prefixes[other, :tree] == prefixes[i, :tree]).any(axis=1)]
+        if len(other):
+            yield i, other
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of regions (with m, the region's size) in pairs of blocks: a class goes to each pair that has its block."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = members.join(open_, "prefix").withColumn("_b", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("prefix", F.least("_b", "_o").alias("b1"), F.greatest("_b", "_o").alias("b2"), "_b", "doc", "n", "sketch", "comp")
-    ship(classes.sparkSession)
+    rows = members.withColumn("_b", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"b1": F.least("_b", "_o"), "b2": F.greatest("_b", "_o")})
 
-    def compare(key, pdf):
-        import pandas as pd
 
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, N_HASHES // 8)
-        doc, n, comp, mine = (pdf[c].to_numpy() for c in ("doc", "n", "comp", "_b"))
-        same = key[1] == key[2]
-        out = []
-        for i in range(len(doc)):
-            other = np.arange(i + 1, len(doc)) if same else np.flatnonzero(mine != mine[i]) if mine[i] == key[1] else np.zeros(0, np.int64)
-            other = other[(comp[other] != comp[i]) & _fits(n[other], n[i])]
-            other = other[_agree(sketch[other], sketch[i]) >= MIN_AGREE]
-            out += [(min(doc[i], x), max(doc[i], x)) for x in doc[other]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int) -> DataFrame:
+    """a, b: components (by their smallest ids) that a link between two of their classes connects; enough to connect all that are linked. source: doc, text."""
+    import pyarrow as pa
 
-    return dealt.groupBy("prefix", "b1", "b2").applyInPandas(compare, schema).distinct()
+    labelled = classes.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    forest = prefixes(labelled)
+    mixed = forest.groupBy("prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("prefix", "m")
+    members = forest.select("prefix", "doc").join(mixed, "prefix").join(labelled, "doc")
+    dealt = _dealt(_compared(members)).select("prefix", "b1", "b2", "_b", "doc", "comp", "n", "sketch", "all").repartition("prefix", "b1", "b2").sortWithinPartitions("prefix", "b1", "b2")
+
+    def near(batches):
+        for (prefix, b1, b2), rows in _groups(batches, 3):
+            wanted = {x for i, other in _alike(rows, prefix[0], b1 == b2, b1) for x in (i, *other.tolist())}
+            if wanted:
+                kept = [(prefix, b1, b2, *rows[x]) for x in sorted(wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["prefix", "b1", "b2", "_b", "doc", "comp", "n", "sketch", "all"])
+
+    alike = materialise(dealt.mapInArrow(near, "prefix binary, b1 int, b2 int, _b int, doc bigint, comp bigint, n int, sketch binary, all binary"), "alike")
+    texts = source.join(alike.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    told = alike.join(texts, "doc").select("prefix", "b1", "b2", "_b", "doc", "comp", "n", "sketch", "all", "text").repartition("prefix", "b1", "b2").sortWithinPartitions("prefix", "b1", "b2")
+
+    def verified(batches):
+        for (prefix, b1, b2), rows in _groups(batches, 3):
+            sets: dict[int, np.ndarray] = {}
+            joined, found = _Union(), []
+
+            def set_of(x):
+                if x not in sets:
+                    sets[x] = shingle_set(rows[x][6], k)
+                return sets[x]
+
+            for i, other in _alike([r[:6] for r in rows], prefix[0], b1 == b2, b1):
+                for x in other.tolist():
+                    a, b = rows[i][2], rows[x][2]
+                    if joined.find(a) != joined.find(b) and similar(set_of(i), set_of(x)):
+                        joined.join(a, b)
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return told.mapInArrow(verified, "a bigint, b bigint")
 
 
 # --- verification and components ---------------------------------------------------------------------------------------------
@@ -273,7 +337,19 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """doc, comp: the smallest id that each node of the graph can reach. Alternates large-star and small-star steps."""
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+
+    def contract(batches):
+        import pyarrow as pa
+
+        seen = _Union()
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                seen.join(a, b)
+        stars = [(x, seen.find(x)) for x in list(seen.up)]
+        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    # each task first joins what its own edges connect; that leaves short paths
+    now = materialise(edges.select("a", "b").mapInArrow(contract, "u bigint, v bigint").where("u > v").distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -290,15 +366,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _linking(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The pairs that would connect different components."""
-    if comps is None:
-        return pairs
-    for x in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("doc").alias(x), F.col("comp").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    return pairs.where("ca != cb").select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row."""
     sets = materialise(sketches(docs, k, id_col, text_col), "sets")
@@ -306,27 +373,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     classes = materialise(first.select("x.doc", "x.n", "x.sig").dropDuplicates(["doc"]), "classes")
     pairs = materialise(neighbours(classes), "pairs")
 
-    # the texts that pairs need, shuffled once
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    texts = materialise(source.join(ends, "doc", "left_semi"), "texts")
-
     # for each class its closest neighbour, and the smallest of those that are close
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = sides.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("x"), F.min(F.when(F.col("agree") >= round(0.9 * N_HASHES), F.col("b"))).alias("least"))
-    early = best.select("a", F.explode(F.array_compact(F.array(-F.col("x.b"), "least"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialise(verify(early, texts, k), "links")
-    comps = materialise(components(links), "comps")
-    late = materialise(verify(_linking(pairs.join(early, ["a", "b"], "left_anti"), comps), texts, k), "links")
-    if not late.isEmpty():
-        links = links.unionByName(late)
-        comps = materialise(components(links), "comps")
-    rest = materialise(crowded(classes, comps), "rest")
-    if not rest.isEmpty():
-        more = rest.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        late = materialise(verify(rest, materialise(source.join(more, "doc", "left_semi"), "texts"), k), "links")
-        if not late.isEmpty():
-            comps = materialise(components(links.unionByName(late)), "comps")
+    early = materialise(best.select("a", F.explode(F.array_compact(F.array(-F.col("x.b"), "least"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "early")
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    ends = early.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = materialise(source.join(ends, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "texts")
+    near = materialise(verify(early, texts, k), "links")
+    comps = materialise(components(near), "comps")
+
+    # links between components: between the smallest ids of two components, since all that counts is what they connect
+    links = materialise(open_links(classes, comps, source, k), "links")
+    if not links.isEmpty():
+        above = components(links).select(F.col("doc").alias("comp"), F.col("comp").alias("top"))
+        alone = links.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(comps, "doc", "left_anti").select("doc", F.col("doc").alias("comp"))
+        comps = materialise(comps.unionByName(alone).join(above, "comp", "left").select("doc", F.coalesce("top", "comp").alias("comp")), "comps")
 
     reps = classes_of(sets).join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
     out = sets.select("doc", "n", "fp").join(reps, "fp", "left")
