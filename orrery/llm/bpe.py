@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Pieces whose ids are remembered in a task; when full the memory starts afresh.
 REMEMBERED = 300_000
 #: Texts are gathered until they hold so many new pieces, so that the index works on many pieces at once.
-GATHERED_TEXTS = 64
+GATHERED_TEXTS = 128
 
 
 def byte_symbols() -> dict[int, str]:
@@ -41,13 +42,23 @@ class Vocabulary:
     def __init__(self, text: str):
         spec = json.loads(text)
         vocab = spec["model"]["vocab"]
-        self.byte_id = {b: vocab[s] for b, s in byte_symbols().items()}
-        back = {s: b for b, s in byte_symbols().items()}
-        #: (left id, right id): (rank, merged id)
-        self.merges = {}
+        symbols = byte_symbols()
+        back = {s: b for b, s in symbols.items()}
+        nothing = (1 << 17) - 1  # parts pieces; larger than any id
+        self.byte_ids = np.array([vocab[symbols[b]] for b in range(255)] + [nothing], np.int64)
+        #: left id << 17 | right id: rank; and by rank the two ids and the merged one
+        self.rank_of: dict[int, int] = {}
+        self.left, self.right, self.merged = [], [], []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.rank_of.setdefault(vocab[left] << 17 | vocab[right], rank)
+            self.left.append(vocab[left])
+            self.right.append(vocab[right])
+            self.merged.append(vocab[left + right])
+        self.byte_pair_ranks = np.full((256, 256), -1, np.int32)
+        for a in range(255):
+            for b in range(255):
+                self.byte_pair_ranks[a, b] = self.rank_of.get(int(self.byte_ids[a]) << 17 | int(self.byte_ids[b]), -1)
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocab.items() if all(c in back for c in s)}
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
@@ -57,54 +68,56 @@ class Vocabulary:
 
 def merge_all(pieces: list[bytes], v: Vocabulary) -> list[list[int]]:
     """Token ids of each piece, all pieces together."""
-    ids: list[int] = []
-    first: list[int] = []
-    for p in pieces:
-        first.append(len(ids))
-        ids.extend(v.byte_id[b] for b in p)
-    first.append(len(ids))
-    n = len(ids)
+    if not pieces:
+        return []
+    # byte FF is in no UTF-8 text: it parts the pieces, and is in no pair
+    chain = np.frombuffer(b"\xff" + b"\xff".join(pieces) + b"\xff", np.uint8)
+    n = len(chain)
+    ids = v.byte_ids[chain].tolist()
     following = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    for s, e in zip(first, first[1:]):
-        if e > s:
-            following[e - 1], before[s] = -1, -1
-    merges = v.merges
-    index: dict[tuple[int, int], list[int]] = {}
-    for i in range(n):
-        j = following[i]
-        if j >= 0 and (pair := (ids[i], ids[j])) in merges:
-            index.setdefault(pair, []).append(i)
-    active = [(merges[p][0], p) for p in index]
-    heapq.heapify(active)
+    # the index: all positions of each pair, by the pair's rank
+    ranks = v.byte_pair_ranks[chain[:-1], chain[1:]]
+    found = np.flatnonzero(ranks >= 0)
+    found = found[np.argsort(ranks[found], kind="stable")]
+    active, at = np.unique(ranks[found], return_index=True)
+    index: dict[int, list[int]] = dict(zip(active.tolist(), (x.tolist() for x in np.split(found, at[1:])))) if len(found) else {}
+    active = list(index)
+    rank_of, lefts, rights, merged, push = v.rank_of.get, v.left, v.right, v.merged, heapq.heappush
     while active:
-        _, pair = heapq.heappop(active)
-        places = index.pop(pair, None)
-        if places is None:
-            continue
-        left, right = pair
-        new = merges[pair][1]
-        places.sort()
+        r = heapq.heappop(active)
+        left, right, new = lefts[r], rights[r], merged[r]
+        places = index.pop(r)
+        if len(places) > 1:
+            places.sort()
         for i in places:
-            j = following[i] if ids[i] == left else -1
-            if j < 0 or ids[j] != right:
-                continue  # an overlapping merge took one of the two
+            if ids[i] != left:
+                continue  # an overlapping merge took it
+            j = following[i]
+            if ids[j] != right:
+                continue
             ids[i], ids[j] = new, -1
             k = following[i] = following[j]
-            if k >= 0:
-                before[k] = i
-                if (p := (new, ids[k])) in merges:
-                    if p not in index:
-                        index[p] = []
-                        heapq.heappush(active, (merges[p][0], p))
-                    index[p].append(i)
+            before[k] = i
+            if (x := rank_of(new << 17 | ids[k])) is not None:
+                if x in index:
+                    index[x].append(i)
+                else:
+                    index[x] = [i]
+                    push(active, x)
             h = before[i]
-            if h >= 0 and (p := (ids[h], new)) in merges:
-                if p not in index:
-                    index[p] = []
-                    heapq.heappush(active, (merges[p][0], p))
-                index[p].append(h)
-    return [[t for t in ids[s:e] if t >= 0] for s, e in zip(first, first[1:])]
+            if (x := rank_of(ids[h] << 17 | new)) is not None:
+                if x in index:
+                    index[x].append(h)
+                else:
+                    index[x] = [h]
+                    push(active, x)
+    out, s = [], 1
+    for p in pieces:
+        e = s + len(p)
+        out.append([t for t in ids[s:e] if t >= 0])
+        s = e + 1
+    return out
 
 
 class Codec:
@@ -112,7 +125,7 @@ class Codec:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str | int, tuple[int, ...]] = {}
 
     def _pieces(self, text: str) -> list:
         """Pieces of the text; an added token stands as its id."""
@@ -129,17 +142,16 @@ class Codec:
         cut = [self._pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({p for ps in cut for p in ps if p.__class__ is str and p not in self.known})
+        new = [p for p in set().union(*cut).difference(self.known) if p.__class__ is str]
         for p, ids in zip(new, merge_all([p.encode() for p in new], self.v)):
             self.known[p] = tuple(ids)
+        for i in self.v.added.values():
+            self.known[i] = (i,)
         known, out = self.known, []
         for ps in cut:
             ids: list[int] = []
             for p in ps:
-                if p.__class__ is str:
-                    ids += known[p]
-                else:
-                    ids.append(p)
+                ids += known[p]
             out.append(ids)
         return out
 
