@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import orrery
 
@@ -33,15 +34,43 @@ def materialise(df: DataFrame, hint: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/orrery/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialised frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/orrery/" in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the filter on ids: 2048 bitmaps of 4 kB, 8 MB in all, whatever the number of ids.
+FILTER_BITS = 1 << 26
+BITMAP_BITS = 32_768
+
+
+def _marked(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df with _maybe: false for ids that can't be among `ids` (column id_col). A broadcast bitmap of hashes of fixed size; the more ids, the more it lets through."""
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    hashed = ids.select(slot(id_col).alias("_h"))
+    maps = hashed.groupBy(F.floor(F.col("_h") / BITMAP_BITS).cast("int").alias("_m")).agg(F.bitmap_construct_agg((F.col("_h") % BITMAP_BITS)).alias("_bits"))
+    rows = df.withColumn("_slot", F.coalesce(slot(id_col), F.lit(0))).withColumn("_m", F.floor(F.col("_slot") / BITMAP_BITS).cast("int")).join(F.broadcast(maps), "_m", "left")
+    at = (F.col("_slot") % BITMAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast((_slot % 32768) % 8 as int)) & 1")
+    return rows.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_m", "_bits", "_slot", "_byte")
+
+
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of df whose id is among `ids`. Most others are dropped before the shuffle."""
+    return _marked(df, ids, id_col).where("_maybe").drop("_maybe").join(ids.select(id_col).distinct(), id_col, "left_semi").select(*df.columns)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of df whose id isn't among `ids`; rows without id stay. Only rows that the filter can't tell are shuffled."""
+    marked = _marked(df, ids, id_col)
+    clear = marked.where("not _maybe").drop("_maybe").select(*df.columns)
+    return clear.unionByName(marked.where("_maybe").drop("_maybe").join(ids.select(id_col).distinct(), id_col, "left_anti").select(*df.columns))
 
 
 def ship(spark: SparkSession) -> None:

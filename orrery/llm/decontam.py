@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import materialise, without_ids
+
 MASKS = ("110101101", "101100111", "111010011", "110011011")
 STRIDE = 3
 #: A reported overlap has at least so many equal words, and this share of its words equal.
@@ -94,5 +96,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that overlap with no benchmark item, with all their columns; rows without an id stay."""
-    bad = overlaps(docs, benchmark, id_col, text_col).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    bad = materialise(overlaps(docs, benchmark, id_col, text_col).select(id_col).distinct(), "bad")
+    return without_ids(docs, bad, id_col)

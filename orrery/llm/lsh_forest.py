@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows, materialise
+from orrery.llm.common import discard, map_rows, materialise, with_ids, without_ids
 
 TREES = 20
 DEPTH = 8
@@ -288,7 +288,7 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["prefix", "b1", "b2", "_b", "doc", "comp", "n", "sketch", "all"])
 
     alike = materialise(dealt.mapInArrow(near, "prefix binary, b1 int, b2 int, _b int, doc bigint, comp bigint, n int, sketch binary, all binary"), "alike")
-    texts = source.join(alike.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    texts = with_ids(source, alike.select("doc").distinct(), "doc").groupBy("doc").agg(F.first("text").alias("text"))
     told = alike.join(texts, "doc").select("prefix", "b1", "b2", "_b", "doc", "comp", "n", "sketch", "all", "text").repartition("prefix", "b1", "b2").sortWithinPartitions("prefix", "b1", "b2")
 
     def verified(batches):
@@ -357,7 +357,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
+        before, now = now, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
+        discard(before)
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen:
             break
@@ -380,9 +381,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ends = early.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = materialise(source.join(ends, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "texts")
+    texts = materialise(with_ids(source, ends, "doc").groupBy("doc").agg(F.first("text").alias("text")), "texts")
     near = materialise(verify(early, texts, k), "links")
     comps = materialise(components(near), "comps")
+    discard(pairs, early, texts, near)
 
     # links between components: between the smallest ids of two components, since all that counts is what they connect
     links = materialise(open_links(classes, comps, source, k), "links")
@@ -404,5 +406,5 @@ def classes_of(sets: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all columns; rows without id stay."""
-    gone = near_duplicates(docs, k, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = materialise(near_duplicates(docs, k, id_col, text_col).where("not kept").select(id_col).distinct(), "gone")
+    return without_ids(docs, gone, id_col)

@@ -295,3 +295,16 @@ def test_pipeline_stages_take_odd_rows(spark):
         for _, stage in p.STAGES:
             rows = stage(spark, rows, SF)
         rows.collect()
+
+
+def test_filter_by_ids(spark):
+    from orrery.llm import common
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(-50, 3000)] + [(None, "none"), (7, "again")], "doc_id bigint, x string")
+    ids = spark.createDataFrame([(i,) for i in range(-50, 3000, 7)], "doc_id bigint")
+    want = {i for i in range(-50, 3000, 7)}
+    inside, outside = common.with_ids(df, ids, "doc_id"), common.without_ids(df, ids, "doc_id")
+    assert inside.columns == outside.columns == ["doc_id", "x"]
+    assert {r["doc_id"] for r in inside.collect()} == want and inside.count() + outside.count() == df.count()
+    assert outside.where("doc_id is null").count() == 1 and not want & {r["doc_id"] for r in outside.collect()}
+    assert common.with_ids(df, ids.limit(0), "doc_id").count() == 0 and common.without_ids(df, ids.limit(0), "doc_id").count() == df.count()
