@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of letters and digits. Each mask hashes the words at its marked positions inside a window,
 so that a changed word at an unmarked position does no harm. All windows of the benchmark are indexed; documents
-look up windows that start at every STRIDE-th word of the whole text, which still meets each overlap of span + STRIDE - 1
-words or more. A hit fixes how the item lies along the document; word equality over the whole item then yields the
+look up the windows at every word of the whole text. A hit fixes how the item lies along the document; of the hits that
+follow each other in one such position only the first is verified. Word equality over the whole item then yields the
 best-scoring stretch (a match counts 1, a substitution -SUBSTITUTION_COST), which is reported if long and equal enough.
 
 Items of fewer than MIN_WORDS words are never reported. Items with equal words count as one, under the smallest item_id.
@@ -12,6 +12,7 @@ Null or empty texts overlap with nothing; repeated documents give the same rows
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from orrery.llm.common import materialise, without_ids
 
 MASKS = ("110101101", "101100111", "111010011", "110011011")
-STRIDE = 3
 #: A reported overlap has at least so many equal words, and this share of its words equal.
 MIN_WORDS = 10
 MIN_SHARE = 0.8
@@ -33,15 +33,26 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(w: Column, step: int) -> Column:
-    """array<struct<h, p>>: hashes under each mask of the windows starting at 0, step, 2*step, ..."""
-    span = len(MASKS[0])
-    last = F.size(w) - span
+def _seeds(rows: DataFrame, text: str, p: str) -> DataFrame:
+    """The rows, once for each mask and window of their words: hash _h, number of the mask _m and first word of the window (column p)."""
+    keep, span = rows.columns, len(MASKS[0])
+    hashed = rows.withColumn("_wh", F.transform(text, lambda x: F.xxhash64(x)))
+    last = F.size("_wh") - span
+    # exploded before the masks are applied: outside a lambda function their hashes are compiled
+    at = hashed.select(*keep, "_wh", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias(p))
+    hashes = [F.xxhash64(F.lit(m), *[F.get("_wh", F.col(p) + k) for k, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)]
+    return at.select(*keep, p, F.posexplode(F.array(*hashes)).alias("_m", "_h"))
 
-    def at(i: Column) -> Column:
-        return F.array(*[F.struct(F.xxhash64(F.lit(m), *[F.get(w, i + k) for k, c in enumerate(mask) if c == "1"]).alias("h"), i.alias("p")) for m, mask in enumerate(MASKS)])
 
-    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(step)), at)))
+def _first(doc: Column, item: Column, p: Column, q: Column, m: Column) -> Column:
+    """Whether no mask matches one word before the hit (p, q) of mask m, and none of the masks before m at it."""
+
+    def match(mask: str, by: int) -> Column:
+        equal = [F.get(doc, p + (k - by)) == F.get(item, q + (k - by)) for k, c in enumerate(mask) if c == "1"]
+        return F.coalesce(functools.reduce(lambda x, y: x & y, equal), F.lit(False))
+
+    again = [match(mask, 1) for mask in MASKS] + [(m > n) & match(mask, 0) for n, mask in enumerate(MASKS[:-1])]
+    return ~functools.reduce(lambda x, y: x | y, again)
 
 
 def _stretch(doc: Column, item: Column, shift: Column) -> Column:
@@ -81,13 +92,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     n_windows = known.select(F.sum(F.greatest(F.size("_words") - len(MASKS[0]) + 1, F.lit(0))) * len(MASKS)).first()[0] or 0
     blocks = max(1, math.ceil(n_windows / BLOCK_WINDOWS))
     texts = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("_dw")).where(F.col("_doc").isNotNull())
-    seeds = texts.select("_doc", "_dw", F.explode(_seeds(F.col("_dw"), STRIDE)).alias("_s")).select("_doc", "_dw", F.col("_s.h").alias("_h"), F.col("_s.p").alias("_p"))
+    seeds = _seeds(texts, "_dw", "_p")
     out = None
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b) if blocks > 1 else known
-        index = part.select("_item", F.explode(_seeds(F.col("_words"), 1)).alias("_s")).select("_item", F.col("_s.h").alias("_h"), F.col("_s.p").alias("_q"))
-        hits = seeds.join(F.broadcast(index), "_h").select("_doc", "_dw", "_item", (F.col("_p") - F.col("_q")).alias("_shift"))
-        laid = hits.join(F.broadcast(part), "_item").select("_doc", "_item", "_shift", _stretch(F.col("_dw"), F.col("_words"), F.col("_shift")).alias("_x"))
+        index = _seeds(part, "_words", "_q").select("_item", "_q", "_h")
+        hits = seeds.join(F.broadcast(index), "_h").join(F.broadcast(part), "_item")
+        first = hits.where(_first(F.col("_dw"), F.col("_words"), F.col("_p"), F.col("_q"), F.col("_m")))
+        laid = first.select("_doc", "_item", (F.col("_p") - F.col("_q")).alias("_shift"), "_dw", "_words").select("_doc", "_item", "_shift", _stretch(F.col("_dw"), F.col("_words"), F.col("_shift")).alias("_x"))
         found = laid.where((F.col("_x.matched") >= MIN_WORDS) & (F.col("_x.matched") >= MIN_SHARE * (F.col("_x.end") - F.col("_x.start"))))
         best = found.groupBy("_doc", "_item").agg(F.max(F.struct(F.col("_x.score").alias("score"), (-(F.col("_shift") + F.col("_x.start"))).alias("at"), (F.col("_x.end") - F.col("_x.start")).alias("n"), F.col("_x.matched").alias("m"))).alias("_b"))
         out = best if out is None else out.unionByName(best)

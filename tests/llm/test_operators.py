@@ -115,6 +115,28 @@ def test_decontamination(spark):
         decontam.BLOCK_WINDOWS = old
 
 
+def test_decontamination_of_short_overlaps_at_every_place(spark):
+    item = [f"item{i}" for i in range(15)]
+    met = lambda e: any(all(e[i + k] for k, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(len(e) - 8))
+    gain = lambda e: sum(1 if x else -decontam.SUBSTITUTION_COST for x in e)
+
+    def reported(e):
+        best = max(((a, b) for a in range(len(e)) for b in range(a + 1, len(e) + 1)), key=lambda x: (gain(e[x[0] : x[1]]), -x[1], x[0]))
+        return met(e) and sum(e[slice(*best)]) >= decontam.MIN_WORDS
+
+    rows, want, changed = [], set(), 0
+    for n in range(10, 16):
+        for subs in {(), *((a,) for a in range(1, n - 1)), *((a, b) for a in range(1, n - 1) for b in range(a + 1, n - 1))}:
+            for before in range(3):
+                if reported([k not in subs for k in range(n)]):
+                    want.add(len(rows))
+                    changed += len(subs) > 0
+                rows.append((len(rows), " ".join([f"own{k}" for k in range(before)] + [f"new{k}" if k in subs else item[k] for k in range(n)] + ["own"] * 9)))
+    assert changed > 300
+    got = decontam.overlaps(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {x["doc_id"] for x in got.collect()} == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (2, 0, "system", "alone"), (3, None, None, "who"), (None, 1, "x", "y"), (4, 1, "a", "t"), (4, 1, "a", "t")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id bigint, turn int, role string, text string, part int, speaker int")
