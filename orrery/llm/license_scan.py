@@ -1,8 +1,8 @@
 """License scans: short notices found in spite of typing errors.
 
 A notice of which up to k characters may differ is split into k + 1 pieces; wherever it occurs, one piece stands
-unchanged. All pieces of all notices are searched at once; each hit opens a window, in which the regex library's
-bounded-error matching verifies the notice and reports its span. Phrases counted exactly come beside it.
+unchanged. All pieces of all notices are searched at once; each hit opens a window around the one place of the notice that
+it allows, in which the regex library's bounded-error matching verifies the notice and reports its best span. Phrases counted exactly come beside it.
 
 A null text is an empty one: no words, no places, no labels, score 0. Texts are taken whole, whatever their length.
 """
@@ -86,23 +86,21 @@ class Scanner:
     def approximate(self, low: str) -> list[tuple[int, int, str, int, int]]:
         """start, end, label, errors and length of notice of every verified occurrence, by start."""
         flat = low.translate(BLANK)
-        windows: dict[int, list[list[int]]] = {}
+        begins: dict[int, list[int]] = {}
         for end, (size, uses) in self.automaton.iter(flat):
             for i, at in uses:
-                n, _, k = self.notices[i]
-                s = end + 1 - size - at - k
-                e = s + len(n) + 2 * k
-                mine = windows.setdefault(i, [])
-                if mine and max(s, 0) <= mine[-1][1]:
-                    mine[-1] = [min(mine[-1][0], max(s, 0)), max(mine[-1][1], e)]
-                else:
-                    mine.append([max(s, 0), e])
+                begins.setdefault(i, []).append(end + 1 - size - at - self.notices[i][2])
         out = []
-        for i, spans in windows.items():
-            n, label, _ = self.notices[i]
-            for s, e in spans:
-                for m in self.fuzzy[i].finditer(flat, s, min(e, len(flat))):
+        for i, places in begins.items():
+            n, label, k = self.notices[i]
+            places.sort()
+            at = 0
+            while at < len(places):
+                # hits of one occurrence lie within 2 k; such a window is too short for a second occurrence beside the best
+                upto = bisect.bisect_right(places, places[at] + 2 * k)
+                if m := self.fuzzy[i].search(flat, max(places[at], 0), min(places[upto - 1] + len(n) + 2 * k, len(flat))):
                     out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(n)))
+                at = upto
         # of overlapping notices the one with the smallest share of errors stands, then the longest
         kept: list[tuple[int, int, str, int, int]] = []
         taken: list[tuple[int, int]] = []

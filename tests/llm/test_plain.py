@@ -141,6 +141,21 @@ def test_notices_with_errors():
     assert s.scan(None)[:4] == (0, 0, None, None)
 
 
+def test_adjacent_notices_with_errors():
+    s = license_scan.Scanner()
+    spans = lambda t: [(t[a:b], label) for a, b, label, *_ in s.approximate(t)]
+    poor, good = "licensed undr the mit license", "licensed under the mit license"
+    for parts in ([poor, good], [good, poor], [poor, poor, good], [good, poor, good], [poor, good] * 20):
+        assert spans(". ".join(parts)) == [(p, "mit") for p in parts]
+    three, two = "licensd under the gnu general publc license, version 3", "licensed under the gnu general public license, version 2"
+    assert spans(f"{three}. {two}") == [(three, "gpl-3.0"), (two, "gpl-2.0")]
+    assert spans(f"{two}. {three}") == [(two, "gpl-2.0"), (three, "gpl-3.0")]
+    for notice, _, k in s.notices:
+        worse = "".join(c for i, c in enumerate(notice) if i not in range(5, 5 + 9 * k, 9))
+        for t in (f"{worse}; {notice}", f"{notice}; {worse}", f"{worse}; {worse}; {notice}"):
+            assert len(s.approximate(t)) == t.count("; ") + 1, t
+
+
 # --- near duplicates ---
 
 
