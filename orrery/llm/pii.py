@@ -5,7 +5,8 @@ written out, phone numbers without a country code, card numbers with other separ
 Text between the base spans is cut into islands: runs of words with a digit, an at sign or a bracket, joined by short
 written-out links. Words outside islands can be in no span, so that an exact search over islands is an exact search
 over the text. In an island, every span of up to MAX_TOKENS tokens is a candidate segment with features of the whole span (its
-shape, digit count, checksum, letters' mix, neighbours); dynamic programming chooses boundaries and kinds together.
+shape, digit count, checksum, letters' mix, neighbours); dynamic programming chooses boundaries and kinds together,
+in one pass over the island, whatever its length.
 
 The field is trained once, on the driver, by gradient steps on its likelihood over N_TRAINING invented lines (fixed seed).
 Null and empty texts have no spans. Texts of any length are taken whole.
@@ -33,8 +34,8 @@ MAX_TOKENS = 18
 N_TRAINING = 360
 EPOCHS = 12
 SEED = 7
-#: Characters of an island decoded together; a longer one is cut at the next white space.
-ISLAND_CHARS = 3200
+#: Tokens of an island whose segments are held at once.
+BLOCK_TOKENS = 1000
 
 # --- base spans: fixed patterns -------------------------------------------------------------------------------------
 
@@ -195,14 +196,18 @@ def span_features(text: str, s: int, e: int) -> list[int]:
     return [FEATURE[x] for x in on]
 
 
-def candidates(text: str, s: int, e: int):
-    """Token bounds of text[s:e], candidate segments (i, j) in tokens, and each one's features.
+def tokens(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    return [(m.start(), m.end()) for m in TOKEN.finditer(text, s, e)]
+
+
+def segments_from(text: str, bounds: list[tuple[int, int]], lo: int, hi: int):
+    """Candidate segments (i, j) in tokens that start at tokens lo to hi - 1, by start, and each one's features.
 
     A segment starts and ends in a word (or a sign that opens or ends a number) and has a digit, an at sign or a written-out one.
     """
-    bounds = [(m.start(), m.end()) for m in TOKEN.finditer(text, s, e)]
     segments, features = [], []
-    for i, (a, _) in enumerate(bounds):
+    for i in range(lo, min(hi, len(bounds))):
+        a = bounds[i][0]
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         for j in range(i + 1, min(len(bounds), i + MAX_TOKENS) + 1):
@@ -215,7 +220,13 @@ def candidates(text: str, s: int, e: int):
             if re.search("[0-9@]", span) or MARKED_AT.search(span) or WRITTEN.search(span):
                 segments.append((i, j))
                 features.append(span_features(text, a, b))
-    return bounds, segments, features
+    return segments, features
+
+
+def candidates(text: str, s: int, e: int):
+    """Token bounds of text[s:e], all its candidate segments and their features."""
+    bounds = tokens(text, s, e)
+    return bounds, *segments_from(text, bounds, 0, len(bounds))
 
 
 class SemiCRF:
@@ -230,33 +241,41 @@ class SemiCRF:
 
     def decode(self, n: int, segments, scores) -> list[tuple[int, int, int]]:
         """The best segmentation of n tokens: (i, j, kind)."""
+        order = sorted(range(len(segments)), key=lambda x: segments[x][0])
+        return self.decode_blocks(n, [([segments[x] for x in order], [scores[x] for x in order])])
+
+    def decode_blocks(self, n: int, blocks) -> list[tuple[int, int, int]]:
+        """The same in one forward pass over blocks of (segments, scores), by start; of past blocks only scores and origins by token are kept."""
         k = len(KINDS)
         best = np.full((n + 1, k + 1), -np.inf)
         best[0, k] = 0
-        came: list[dict] = [{} for _ in range(n + 1)]
-        ending: dict[int, list[int]] = {}
-        for x, (_, j) in enumerate(segments):
-            ending.setdefault(j, []).append(x)
-        for j in range(1, n + 1):
-            y = int(best[j - 1].argmax())
-            best[j, k] = best[j - 1, y]
-            came[j][k] = (j - 1, y)
-            for x in ending.get(j, ()):
-                i = segments[x][0]
+        start, before = np.zeros((n + 1, k), np.int64), np.zeros((n + 1, k + 1), np.int8)
+        done = 0  # staying outside is carried up to this token
+        for segments, scores in blocks:
+            for (i, j), score in zip(segments, scores):
+                done = self._outside(best, before, done, i)
                 reach = best[i][:, None] + self.follow
                 prior = reach.argmax(axis=0)
-                total = reach[prior, range(k)] + scores[x]
+                total = reach[prior, range(k)] + score
                 for y in range(k):
                     if total[y] > best[j, y]:
-                        best[j, y], came[j][y] = total[y], (i, int(prior[y]))
+                        best[j, y], start[j, y], before[j, y] = total[y], i, prior[y]
+        self._outside(best, before, done, n)
         out, j, y = [], n, int(best[n].argmax())
         while j > 0:
-            i, before = came[j][y]
+            i = int(start[j, y]) if y < k else j - 1
             if y < k:
                 out.append((i, j, y))
-            j, y = i, before
+            j, y = i, int(before[j, y])
         return out[::-1]
 
+    def _outside(self, best, before, done: int, upto: int) -> int:
+        while done < upto:
+            y = int(best[done].argmax())
+            done += 1
+            best[done, -1], before[done, -1] = best[done - 1, y], y
+        return done
+
     def expectations(self, n: int, segments, scores):
         """Log of the sum over all segmentations, the chance of each (segment, kind), and expected followings."""
         k = len(KINDS)
@@ -395,16 +414,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]], crf: SemiCRF) -> li
             taken.append([s, e])
     out = []
     for s, e in islands(text, [(a, b) for a, b in taken]):
-        while s < e:
-            # very long islands go in pieces that end at white space
-            cut = e
-            if e - s > ISLAND_CHARS:
-                cut = next((m.start() for m in re.finditer(r"\s", text[s + ISLAND_CHARS : e])), e - s - ISLAND_CHARS) + s + ISLAND_CHARS
-            bounds, segments, features = candidates(text, s, cut)
-            if segments:
-                for i, j, y in crf.decode(len(bounds), segments, crf.scores(features)):
-                    out.append((bounds[i][0], bounds[j - 1][1], KINDS[y]))
-            s = cut
+        bounds = tokens(text, s, e)
+        blocks = (segments_from(text, bounds, at, at + BLOCK_TOKENS) for at in range(0, len(bounds), BLOCK_TOKENS))
+        for i, j, y in crf.decode_blocks(len(bounds), ((segments, crf.scores(features)) for segments, features in blocks)):
+            out.append((bounds[i][0], bounds[j - 1][1], KINDS[y]))
     return out
 
 

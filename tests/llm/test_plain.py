@@ -85,6 +85,19 @@ def test_decoding_is_the_best_of_all_segmentations():
         assert np.isclose(crf.expectations(n, segments, scores)[0], np.logaddexp.reduce([s for s, _ in options]))
 
 
+def test_long_islands_are_decoded_whole():
+    r = random.Random(11)
+    digits = lambda n: "".join(r.choices("23456789", k=n))
+    crf = pii.trained()
+    numbers = [f"({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(600)]
+    for shift in ("", "1, ", "12, ", "123, ", "1234, ", "12345, "):
+        text = shift + ", ".join(numbers)
+        bounds, segments, features = pii.candidates(text, 0, len(text))
+        whole = [(bounds[i][0], bounds[j - 1][1], pii.KINDS[y]) for i, j, y in crf.decode(len(bounds), segments, crf.scores(features))]
+        assert pii.added_spans(text, [], crf) == whole
+        assert [text[s:e] for s, e, y in whole if y == "phone"] == numbers
+
+
 def test_redaction():
     t = "mail a.b@c.de or call +1 (743) 555-3824."
     assert pii.redact_text(t, pii.find(t, pii.trained())[1]) == "mail [EMAIL] or call [PHONE]."
