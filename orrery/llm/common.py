@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,8 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own checkpoint folder, else a local default."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: the session's own checkpoint folder. Only a session of one machine may do without, and gets a local one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that they share")
+    return LOCAL_CHECKPOINTS
 
 
 def materialise(df: DataFrame, hint: str = "part") -> DataFrame:
@@ -49,28 +54,36 @@ FILTER_BITS = 1 << 26
 BITMAP_BITS = 32_768
 
 
-def _marked(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """df with _maybe: false for ids that can't be among `ids` (column id_col). A broadcast bitmap of hashes of fixed size; the more ids, the more it lets through."""
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
-    hashed = ids.select(slot(id_col).alias("_h"))
-    maps = hashed.groupBy(F.floor(F.col("_h") / BITMAP_BITS).cast("int").alias("_m")).agg(F.bitmap_construct_agg((F.col("_h") % BITMAP_BITS)).alias("_bits"))
-    rows = df.withColumn("_slot", F.coalesce(slot(id_col), F.lit(0))).withColumn("_m", F.floor(F.col("_slot") / BITMAP_BITS).cast("int")).join(F.broadcast(maps), "_m", "left")
-    at = (F.col("_slot") % BITMAP_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(_byte, cast((_slot % 32768) % 8 as int)) & 1")
-    return rows.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_m", "_bits", "_slot", "_byte")
+def _marked(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """row (a struct of all columns of df) and maybe: false for rows whose keys can't be among those of `ids`.
+
+    A broadcast bitmap of hashes of fixed size; the more ids, the more it lets through.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    hashed = ids.select(slot.alias("h"))
+    maps = hashed.groupBy(F.floor(F.col("h") / BITMAP_BITS).cast("int").alias("m")).agg(F.bitmap_construct_agg((F.col("h") % BITMAP_BITS)).alias("bits"))
+    rows = df.select(F.struct(*df.columns).alias("row"), slot.alias("slot")).withColumn("m", F.floor(F.col("slot") / BITMAP_BITS).cast("int")).join(F.broadcast(maps), "m", "left")
+    at = (F.col("slot") % BITMAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(byte, cast((slot % 32768) % 8 as int)) & 1")
+    return rows.withColumn("byte", byte).select("row", F.coalesce(bit == 1, F.lit(False)).alias("maybe"))
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df whose keys may be among those of `ids`: all that are, and few others."""
+    return _marked(df, ids, keys).where("maybe").select("row.*")
 
 
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose id is among `ids`. Most others are dropped before the shuffle."""
-    return _marked(df, ids, id_col).where("_maybe").drop("_maybe").join(ids.select(id_col).distinct(), id_col, "left_semi").select(*df.columns)
+    return maybe_among(df, ids, [id_col]).join(ids.select(id_col).distinct(), id_col, "left_semi").select(*df.columns)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose id isn't among `ids`; rows without id stay. Only rows that the filter can't tell are shuffled."""
-    marked = _marked(df, ids, id_col)
-    clear = marked.where("not _maybe").drop("_maybe").select(*df.columns)
-    return clear.unionByName(marked.where("_maybe").drop("_maybe").join(ids.select(id_col).distinct(), id_col, "left_anti").select(*df.columns))
+    marked = _marked(df, ids.where(F.col(id_col).isNotNull()), [id_col])
+    clear = marked.where("not maybe").select("row.*")
+    return clear.unionByName(marked.where("maybe").select("row.*").join(ids.select(id_col).distinct(), id_col, "left_anti").select(*df.columns))
 
 
 def ship(spark: SparkSession) -> None:

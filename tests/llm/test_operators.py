@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import bpe, chat, decontam, html_extract, license_scan, lsh_forest, pii, quality_rules, url_filter, weak_label
 from orrery.llm.common import table
@@ -223,8 +224,20 @@ def test_near_duplicates_of_odd_rows(spark):
     assert left.columns == odd(spark).columns and left.where("doc_id = 6").isEmpty()
 
 
-def test_crowded_regions_lose_no_link(spark):
-    """A chain of texts in which only neighbours are linked, beside many that resemble them without being linked."""
+def test_an_id_with_several_texts_links_what_its_texts_link(spark):
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    rows = [(7, " ".join(a)), (9, " ".join([*a, "more"])), (7, " ".join(b)), (8, " ".join(b)), (11, " ".join([*b, "more"])), (5, "something else"), (5, None)]
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in lsh_forest.near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == {(7, 37): (7, True), (9, 38): (7, False), (8, 37): (7, False), (11, 38): (7, False), (5, 1): (5, True), (5, 0): (5, True)}
+    left = lsh_forest.deduplicate(docs(spark, rows).withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string"))), 4)
+    assert sorted(r["doc_id"] for r in left.collect()) == ["id11", "id5", "id5"]
+
+
+@pytest.mark.parametrize("crowd, block, shingles", [(4096, 2048, 1 << 20), (10, 16, 1 << 20), (10, 2048, 2000), (40, 7, 1 << 20)])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, crowd, block, shingles):
+    """A chain of texts in which only neighbours are linked, beside many that resemble them without being linked; with depths and blocks of all kinds."""
+    for name, value in (("CROWD", crowd), ("BLOCK", block), ("BLOCK_SHINGLES", shingles)):
+        monkeypatch.setattr(lsh_forest, name, value)
     r = random.Random(12)
     word = lambda: "".join(r.choices("abcdefghij", k=6))
     base = [word() for _ in range(200)]

@@ -183,15 +183,17 @@ def test_shingles_and_similarity():
     assert lsh_forest.similar(a, b) and not lsh_forest.similar(a, b[:7]) and not lsh_forest.similar(a, b[:0])
 
 
-def test_sketches_keep_pairs_at_the_threshold():
+def test_sketches_and_trees_keep_pairs_at_the_threshold():
     r = np.random.default_rng(7)
+    assert all(sorted(o) == list(range(lsh_forest.N_HASHES)) for o in lsh_forest.ORDERS.reshape(-1, lsh_forest.N_HASHES).tolist())
     missed = 0
     for _ in range(300):
         x = r.integers(0, 1 << 63, 900, dtype=np.uint64)
         a, b = x[:810], x[90:]  # 720 of 900 in common
-        (ka, sa), (kb, sb) = (lsh_forest.labels_and_sketch(lsh_forest.signature(s)) for s in (a, b))
-        together = any(p[: lsh_forest.PREFIX_BYTES] == q[: lsh_forest.PREFIX_BYTES] for p, q in zip(ka, kb))
-        missed += not together or lsh_forest._agree(np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)) < lsh_forest.MIN_AGREE
+        (wa, sa), (wb, sb) = (lsh_forest.wide_and_sketch(lsh_forest.signature(s)) for s in (a, b))
+        for trees, depth in ((lsh_forest.TREES, lsh_forest.MIN_DEPTH), (lsh_forest.DEEP_TREES, lsh_forest.DEEP)):
+            missed += not any(p == q for p, q in zip(lsh_forest.tree_labels(wa, trees, depth), lsh_forest.tree_labels(wb, trees, depth)))
+        missed += lsh_forest._agree(np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)) < lsh_forest.MIN_AGREE or (wa == wb).sum() < lsh_forest.MIN_EQUAL
     assert missed == 0
 
 
