@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows
+from orrery.llm.common import release, ship
 
 #: Fixed value: how byte-level BPE vocabularies of this family cut text into pieces.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids are remembered in a task; when full the memory starts afresh.
-REMEMBERED = 300_000
+#: Pieces whose ids are remembered in a task, about 250 bytes each; when full the memory starts afresh.
+REMEMBERED = 100_000
 #: Texts are gathered until they hold so many new pieces, so that the index works on many pieces at once.
 GATHERED_TEXTS = 128
 
@@ -159,6 +159,17 @@ class Codec:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+_LAST: list = [None, None]
+
+
+def vocabulary(digest: str, spec) -> Vocabulary:
+    """The vocabulary of the broadcast file; a worker keeps the last one from task to task."""
+    if _LAST[0] != digest:
+        _LAST[:] = [None, None]
+        _LAST[:] = [digest, Vocabulary(spec.value)]
+    return _LAST[1]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -167,23 +178,24 @@ def default_path() -> str:
 
 def _gathered(df: DataFrame, id_col: str, text_col: str, path: str | None, schema: str, row) -> DataFrame:
     """row(codec, id, text, ids) of every document."""
-    from orrery.llm.common import ship
-
     spark = df.sparkSession
     ship(spark)
     with open(path or default_path(), encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())  # one tokenizer file
+        text = f.read()
+    spec, digest = spark.sparkContext.broadcast(text), hashlib.sha256(text.encode()).hexdigest()  # one tokenizer file
 
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(Vocabulary(spec.value))
+        codec = Codec(vocabulary(digest, spec))
         for b in batches:
             for s in range(0, b.num_rows, GATHERED_TEXTS):
                 part = b.slice(s, GATHERED_TEXTS)
                 keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
                 rows = [row(codec, t, ids) for t, ids in zip(texts, codec.encode_batch(texts))]
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(c) for c in zip(*rows)]], names=[x.split(" ")[0] for x in schema.split(", ")])
+        del codec
+        release()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -86,9 +86,31 @@ def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return clear.unionByName(marked.where("maybe").select("row.*").join(ids.select(id_col).distinct(), id_col, "left_anti").select(*df.columns))
 
 
+#: Bytes of one Arrow batch to Python, where the session sets none; few texts are so long that one alone has more.
+BATCH_BYTES = 8 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def release() -> None:
+    """Give the memory that a task's batches and caches took back to the system: workers live on after their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session: its functions are pickled by reference."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if getattr(sc, "_orrery_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(orrery.__file__))
@@ -103,10 +125,14 @@ def ship(spark: SparkSession) -> None:
     sc._orrery_shipped = True
 
 
+#: Characters of text that output rows gather in a worker.
+CHUNK_CHARS = 4 << 20
+
+
 def map_rows(df: DataFrame, make, schema: str, chunk: int = 1000) -> DataFrame:
     """Rows of df through Python, in Arrow batches: make() is called once a task and gives f(*values) -> iterable of output tuples.
 
-    Values are read from a batch one row at a time, and output leaves in chunks, so that memory follows one batch.
+    Values are read from a batch one row at a time, and output leaves in chunks bounded in rows and characters, so that memory follows one batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -117,7 +143,7 @@ def map_rows(df: DataFrame, make, schema: str, chunk: int = 1000) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        f, out = make(), []
+        f, out, held = make(), [], 0
 
         def flush():
             cols = list(zip(*out)) if out else [[] for _ in arrow]
@@ -125,11 +151,16 @@ def map_rows(df: DataFrame, make, schema: str, chunk: int = 1000) -> DataFrame:
 
         for b in batches:
             for i in range(b.num_rows):
-                out.extend(f(*[c[i].as_py() for c in b.columns]))
-                if len(out) >= chunk:
+                new = f(*[c[i].as_py() for c in b.columns])
+                out.extend(new)
+                held += sum(len(v) for row in new for v in row if v.__class__ is str)
+                if len(out) >= chunk or held > CHUNK_CHARS:
                     yield flush()
                     out.clear()
+                    held = 0
         if out:
             yield flush()
+        del f
+        release()
 
     return df.mapInArrow(run, schema)

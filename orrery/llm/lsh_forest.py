@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import discard, map_rows, materialise, maybe_among, without_ids
+from orrery.llm.common import discard, map_rows, materialise, maybe_among, release, without_ids
 
 TREES = 20
 DEPTH = 8
@@ -348,6 +348,7 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
             if wanted:
                 kept = [(prefix, b1, b2, *rows[x]) for x in sorted(wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), kinds)], names=columns)
+        release()
 
     alike = materialise(sorted_(_with_values(dealt, labelled)).mapInArrow(near, "prefix binary, b1 int, b2 int, role int, cid bigint, comp bigint, n int, sketch binary, wide binary"), "alike")
     texts = texts_of(source, classes, alike.select("cid").distinct())
@@ -376,6 +377,7 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
                         found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+        release()
 
     links = materialise(told.mapInArrow(verified, "a bigint, b bigint"), "links")
     discard(open_shallow, crowded, members, dealt, alike)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows, ship
+from orrery.llm.common import map_rows, release, ship
 
 MAX_TRAINING = 8_000
 BITS = 18
@@ -32,6 +32,8 @@ EPOCHS = 4
 RATE = 0.15
 SHRINK = 2e-4
 SEED = 11
+#: Words remembered in a task, about 300 bytes each.
+REMEMBERED = 80_000
 TASKS = ("quality", "clean")
 
 #: Common insults in English.
@@ -80,14 +82,14 @@ def _of_word(word: str) -> tuple[int, int, bool, bool, bool, int, int]:
 
 
 class Reader:
-    """Statistics of texts, remembering what it found out about words."""
+    """Statistics of texts, remembering what it found out about words (REMEMBERED of them, then afresh)."""
 
     def __init__(self):
         self.known: dict[str, tuple] = {}
 
     def read(self, text: str) -> tuple[Statistics, np.ndarray, np.ndarray]:
         """Statistics, hashed features of the statistics (short texts apart), hashed features of words."""
-        if len(self.known) > 400_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         words = text.split()
         counts = Counter(words)
@@ -320,5 +322,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         reader, weights = Reader(), shared.value
         for batch in batches:
             yield batch.filter(pa.array([min(_chances(weights, reader, t.as_py())) >= 0.5 for t in batch.column(at)], pa.bool_()))
+        del reader
+        release()
 
     return docs.mapInArrow(run, docs.schema)
