@@ -264,6 +264,45 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_substrings_are_removed_like_brute_force(spark, monkeypatch):
+    """Doubtful blocks, with and without article, against a plain search for substrings that distinct frames share."""
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 7)  # several groups a host
+    r = random.Random(21)
+    phrases = [[f"p{k}w{i}" for i in range(r.randint(5, 14))] for k in range(6)]
+    rows, parts = [], {}
+    for i in range(60):
+        body, mine = [], []
+        for b in range(r.randint(1, 4)):
+            words = [f"own{i}x{b}y{k}" for k in range(r.randint(0, 5))]
+            for _ in range(r.randint(0, 2)):
+                words += r.choice(phrases) + [f"own{i}x{b}z{r.random()}" for _ in range(r.randint(0, 2))]
+            if words:
+                sure = i % 3 == 0 and r.random() < 0.5
+                mine.append((sure, words))
+                body.append(f"<p{'' if sure or i % 3 else ' class=notice-text'}>{' '.join(words)}</p>")
+        html = "".join(body)
+        host = f"h{i % 4 // 3}.org"
+        rows.append((i, f"http://{host}/{i}", f"<article>{html}</article>" if i % 3 == 0 else html))
+        parts[i] = (host, mine)
+    frames = collections.defaultdict(set)
+    for host, mine in parts.values():
+        frames[host].add(tuple(tuple(w) for sure, w in mine if not sure))
+    n = html_extract.RUN
+    for i, (host, mine) in parts.items():
+        kept = []
+        for sure, w in mine:
+            covered = set()
+            for a in range(len(w) - n + 1 if not sure else 0):
+                pages = sum(any(block[x : x + n] == tuple(w[a : a + n]) for block in frame for x in range(len(block) - n + 1)) for frame in frames[host])
+                if pages >= html_extract.MIN_PAGES:
+                    covered |= set(range(a, a + n))
+            kept += [x for k, x in enumerate(w) if k not in covered]
+        parts[i] = " ".join(kept)
+    got = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id")
+    assert {i: x[0]["text"] for i, x in got.items()} == parts
+    assert sum(len(t.split()) for t in parts.values()) < sum(len(re.sub("<[^>]*>", " ", h).split()) for *_, h in rows)
+
+
 def test_urls(spark):
     urls = {1: "http://WWW.Example.NET/en/x?y#z", 2: "https://a.example.net/", 3: "http://example.com/de/", 4: "http://example.com", 5: "http://x.org/fr/1", 6: "http://free-bets.example.com/x", 7: None, 8: "no scheme", 9: "http://badcasino.com/", 10: "http://notexample.net", 11: "x://y.net?q=/en/", 12: "http://e.com/a\nb"}
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in urls.items()], "page_id bigint, url string, host string, path string")
