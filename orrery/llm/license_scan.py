@@ -4,7 +4,11 @@ A notice of which up to k characters may differ is split into k + 1 pieces; wher
 unchanged. All pieces of all notices are searched at once; each hit opens a window around the one place of the notice that
 it allows, in which the regex library's bounded-error matching verifies the notice and reports its best span. Phrases counted exactly come beside it.
 
-A null text is an empty one: no words, no places, no labels, score 0. Texts are taken whole, whatever their length.
+Notices are searched in a flat text, in which white space, with the marks that begin lines of comments, is one blank; spans are
+given in the whole text. Of overlapping notices the one with the smallest share of errors stands, then the longest, then the first.
+
+A null text is an empty one: no words, no places, no labels, score 0. Texts are taken whole, whatever their length. Equal rows give
+equal results, an empty table an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +49,33 @@ CHARS_AN_ERROR = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 LOWER = {c: c + 32 for c in range(65, 91)}
-BLANK = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
+#: What is one blank in the flat text: an end of line with the mark of a comment behind it, or white space.
+GAP = re.compile(r"\s*\n[ \t]*(?:(?:[*#;>%|]+|//+|--+)(?=\s|$)[ \t]*)?|[ \t\r\f\v]+")
+
+
+class Flat:
+    """A text with each gap as one blank, and where its places are in the text."""
+
+    def __init__(self, low: str):
+        pieces, self.flat, self.text = [], [0], [0]
+        at = size = 0
+        for m in GAP.finditer(low):
+            if m.end() - m.start() > 1:
+                # up to the gap and its blank places move in step, then they start anew
+                pieces.append(low[at : m.start()])
+                size += m.start() - at + 1
+                at = m.end()
+                self.flat.append(size)
+                self.text.append(at)
+            elif low[m.start()] != " ":
+                pieces.append(low[at : m.start()])
+                size += m.end() - at
+                at = m.end()
+        self.string = " ".join([*pieces, low[at:]])
+
+    def place(self, i: int) -> int:
+        k = bisect.bisect_right(self.flat, i) - 1
+        return self.text[k] + i - self.flat[k]
 
 
 def split_pieces(notice: str, k: int) -> list[tuple[str, int]]:
@@ -85,7 +115,8 @@ class Scanner:
 
     def approximate(self, low: str) -> list[tuple[int, int, str, int, int]]:
         """start, end, label, errors and length of notice of every verified occurrence, by start."""
-        flat = low.translate(BLANK)
+        source = Flat(low)
+        flat = source.string
         begins: dict[int, list[int]] = {}
         for end, (size, uses) in self.automaton.iter(flat):
             for i, at in uses:
@@ -99,7 +130,7 @@ class Scanner:
                 # hits of one occurrence lie within 2 k; such a window is too short for a second occurrence beside the best
                 upto = bisect.bisect_right(places, places[at] + 2 * k)
                 if m := self.fuzzy[i].search(flat, max(places[at], 0), min(places[upto - 1] + len(n) + 2 * k, len(flat))):
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(n)))
+                    out.append((source.place(m.start()), source.place(m.end() - 1) + 1, label, sum(m.fuzzy_counts), len(n)))
                 at = upto
         # of overlapping notices the one with the smallest share of errors stands, then the longest
         kept: list[tuple[int, int, str, int, int]] = []

@@ -23,7 +23,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.rotate(table(spark, sf_dir, "conversations")))
 
 
 def op5_weak_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_decontamination, op4_chat_rotation, op5_weak_label, op6_license_scan, op7_lsh_forest, op8_html_extraction, op9_url_filter, op10_bpe)}
-ORACLES = {"op9_url_filter": url_filter.oracle_sql()}
+ORACLES = {"op4_chat_rotation": chat.oracle_sql(), "op9_url_filter": url_filter.oracle_sql()}

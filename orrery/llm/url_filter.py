@@ -1,7 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token, with DataFrame functions only.
 
 A rule is written as a pattern in which `^` stands for a separator (any character but a letter or digit, or an end of
-the URL), `*` for anything, and the rest for itself. Runs of letters and digits with a separator on both sides are
+the URL), `*` for anything on the line, `||` in front for the start of the host or of one of its upper domains, `|` at the end for the
+end of the URL, and the rest for itself. Runs of letters and digits with a separator on both sides are
 its tokens: a URL can only match if they are among its own. Each rule is filed under the one that is rarest in the URLs
 at hand; a URL's tokens fetch the rules to try, and only those run as regular expressions.
 
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 #: Rules on host and path: (host, path, verdict). Fixed values of the query's contract.
 SITE_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Pattern rules of the method: gambling, medicine adverts, trackers, adult sites.
+#: Pattern rules of the method: gambling, medicine adverts, trackers, adult sites, spam.
 PATTERNS = (
     "^casino^", "^casinos^", "^casino-win^", "^poker^", "^bets^", "^free-bets^", "^betting^", "^jackpot^", "^pills^", "^cheap-pills^", "^viagra^", "^pharmacy-discount^",
     "^ads-track^", "^adserver^", "^ad-click^", "^click-track^", "^porn^", "^xxx^", "^sex-cam^", "^payday-loan^",
+    "||ads.", "||adserver.", "||track.*^click^", "||casino*^bonus^", "||win*.casino.", "||cdn.*/banner/*.gif|", "||*.doubleclick.net^", "||click.*?*^redirect=",
+    "/wp-content/*/ads/", "/out.php?*url=", "/redirect?*^target=http", "/popunder.js|", "/pixel.gif?", "/track/*/open.gif|", "?utm_campaign=*spam^", "&affid=*&subid=", "/slots/*/free^", "/loan*/apply^now^", "^adult^*^video^", "^replica^*^watches^",
 )
 
 #: Rules looked up through a literal map in the row, at most; a longer list is joined by token.
@@ -31,17 +34,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def regex_of(pattern: str) -> str:
-    parts = []
-    for i, c in enumerate(pattern):
+    """The pattern as a regular expression over the whole lower-cased URL."""
+    out, rest, last = "", pattern, ""
+    if rest.startswith("||"):
+        # the host or one of its upper domains starts here
+        out, rest = r"^[a-z][a-z0-9+.-]*://([^/?#]*[.])?", rest[2:]
+    if rest.endswith("|"):
+        rest, last = rest[:-1], "$"
+    for i, c in enumerate(rest):
         if c == "^":
-            parts.append("(^|[^a-z0-9])" if i == 0 else "([^a-z0-9]|$)")
+            out += "(^|[^a-z0-9])" if i == 0 and not out else "([^a-z0-9]|$)"
         else:
-            parts.append("[^\\n]*" if c == "*" else re.escape(c))
-    return "".join(parts)
+            out += "[^\\n]*" if c == "*" else re.escape(c)
+    return out + last
 
 
 def tokens_of(pattern: str) -> list[str]:
     """Literal tokens that every match has as whole tokens: next to separators or other punctuation on both sides."""
+    # the mark of a host stands behind // or a dot, that of the end before the end
     return [m[0] for m in re.finditer(r"[a-z0-9]+", pattern) if m.start() > 0 and m.end() < len(pattern) and pattern[m.start() - 1] != "*" and pattern[m.end()] != "*"]
 
 

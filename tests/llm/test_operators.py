@@ -149,9 +149,27 @@ def test_chat(spark):
     assert [got[1, "bob"]["text"][a:b] for a, b in got[1, "bob"]["mask"]] == ["<|end|>\n"]
     assert got[4, "a"]["n_turns"] == 2 and len(got[4, "a"]["mask"]) == 2
     assert chat.rotate(df.limit(0)).count() == 0
-    long = spark.createDataFrame([(1, i, "ab"[i % 2], str(i)) for i in range(100)], "conv_id bigint, turn int, role string, text string")
-    parts = chat.rotate(long).where("speaker = 'a'").orderBy("part").collect()
-    assert len(parts) == 4 and "".join(p["text"] for p in parts) == "".join(f"<|{'assistant' if i % 2 == 0 else 'user name=b'}|>\n{i}<|end|>\n" for i in range(100))
+    long = spark.createDataFrame([(1, i, "ab"[i % 2], str(i)) for i in range(300)], "conv_id bigint, turn int, role string, text string")
+    views = chat.rotate(long)
+    parts = views.where("speaker = 'a'").orderBy("part").collect()
+    want = "".join(f"<|{'assistant' if i % 2 == 0 else 'user name=b'}|>\n{i}<|end|>\n" for i in range(300))
+    assert len(parts) == 3 and "".join(p["text"] for p in parts) == want
+    one = chat.whole(views).where("speaker = 'a'").first()
+    assert one["text"] == want and one["n_turns"] == 300 and [want[a:b] for a, b in one["mask"]] == [f"{i}<|end|>\n" for i in range(0, 300, 2)]
+
+
+def test_chat_of_odd_turn_numbers_and_names(spark):
+    rows = [(1, None, "a|>\nb", f"t{i:03}") for i in range(300)] + [(1, 5, "back\\<|", f"u{i:03}") for i in range(290)] + [(1, i, "c", f"w{i}") for i in range(100)] + [(None, None, None, None)] * 300
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    views = chat.rotate(df)
+    assert views.agg(F.max("n_turns")).first()[0] < 2 * chat.PART_TURNS
+    got = {(r["conv_id"], r["speaker"]): r for r in chat.whole(views).collect()}
+    assert set(got) == {(1, "a|>\nb"), (1, "back\\<|"), (1, "c"), (None, "unknown")}
+    c = got[1, "c"]
+    assert c["n_turns"] == 690 and [c["text"][a:b] for a, b in c["mask"]] == [f"w{i}<|end|>\n" for i in range(100)]
+    assert c["text"].count("<|user name=a|\\>\\nb|>\n") == 300 and c["text"].count("<|user name=back\\\\<\\||>\n") == 290
+    assert sorted(re.findall(r"[tuw]\d+(?=<)", c["text"])) == sorted(t for i, _, _, t in rows if i == 1)
+    assert [x for x in re.findall(r"w(\d+)<", c["text"])] == [str(i) for i in range(100)] and c["text"].index("t000") < c["text"].index("w0<") < c["text"].index("u000") < c["text"].index("w6<")
 
 
 def test_classifier(spark):

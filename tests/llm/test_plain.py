@@ -172,6 +172,22 @@ def test_notices_with_errors():
     assert s.scan(None)[:4] == (0, 0, None, None)
 
 
+def test_notices_across_lines_and_comments():
+    scanner = license_scan.Scanner()
+    for gap in ("  ", "\n * ", "\n# ", "\n\n", " \t\n   // ", "\n>  ", "\r\n;; "):
+        for errors in (0, 1):
+            notice = ["Licensed", "under", "the", "Apache", "License,", "Version" if not errors else "Versio", "2.0"]
+            text = f"x  y\n * {gap.join(notice)}{gap}now"
+            ((s, e, label, n, _),) = scanner.approximate(text.lower())
+            assert (text[s:e], label, n) == (gap.join(notice), "apache-2.0", errors), gap
+    r = random.Random(4)
+    for _ in range(300):
+        low = "".join(r.choice("ab  \n\t\r*#") for _ in range(r.randint(0, 30)))
+        flat = license_scan.Flat(low)
+        assert flat.string == license_scan.GAP.sub(" ", low)
+        assert all(low[flat.place(i)] == c for i, c in enumerate(flat.string) if not c.isspace())
+
+
 def test_adjacent_notices_with_errors():
     s = license_scan.Scanner()
     spans = lambda t: [(t[a:b], label) for a, b, label, *_ in s.approximate(t)]
