@@ -1,11 +1,13 @@
 """Quality rules: a learned decision list over text statistics, run as one Spark conditional expression.
 
-Statistics of a text are computed by DataFrame functions alone. A list of rules is learned by sequential covering:
-each rule is a conjunction of thresholds, grown by information gain on two thirds of a labelled sample and pruned on
-the rest; rows that a rule covers leave before the next one is grown. The list becomes a chain of when() calls.
+Statistics of a text are computed by DataFrame functions alone. One list of rules for both classes, bad and good, is learned by sequential
+covering: each rule is a conjunction of thresholds, grown by information gain on two thirds of a labelled sample and pruned on
+the rest; of the best rule for each class the one that is right more often among the pruning rows comes next in the list, and rows that it
+covers leave before the next is grown. What no rule covers gets the default, the class of most rows that are left. The list becomes a chain of when().
 
 Null and empty texts have no words and fail the base rule (under 50 words). Repeated rows are judged alike, an empty
-table gives an empty result, no labels give an empty list (which keeps everything), extra columns are ignored.
+table gives an empty result, no labels give an empty list (which keeps everything), extra columns are ignored. Texts of any length are
+taken whole. Of equally good conditions the first in the order of features and thresholds stands; of equally good rules the one for bad rows.
 """
 
 from __future__ import annotations
@@ -209,63 +211,82 @@ def _match(bins: dict, conditions) -> bool:
     return all((bins[f] > k) if above else (bins[f] <= k) for f, above, k in conditions)
 
 
-def learn(cuts: dict[str, list[float]], rows, target: int = 0) -> list[Rule]:
-    """Sequential covering over binned rows: rules for `target`, in the order in which they apply.
-
-    A condition (f, above, k) holds for bins over k, that is, for values over the k-th threshold.
-    """
-    grow_all, prune_all = [x for i, x in enumerate(rows) if i % 3], [x for i, x in enumerate(rows) if not i % 3]
-    out: list[Rule] = []
-    while len(out) < MAX_RULES and _count(grow_all, target)[0]:
-        conditions, grow = [], grow_all
-        while len(conditions) < MAX_CONDITIONS and _count(grow, target)[1]:
-            now, best, best_gain = _count(grow, target), None, 1e-9
-            for f in FEATURES:
-                per = {}
-                for bins, label, n in grow:
-                    c = per.setdefault(bins[f], [0, 0])
-                    c[label != target] += n
-                low = [0, 0]
-                for k in range(len(cuts[f])):
-                    at = per.get(k, (0, 0))
-                    low = [low[0] + at[0], low[1] + at[1]]
-                    for above, after in ((False, tuple(low)), (True, (now[0] - low[0], now[1] - low[1]))):
-                        # of equal conditions on one feature, the one that leaves most room to the other class
-                        wider = best is not None and above and best[:2] == (f, True)
-                        if (g := _gain(now, after)) > best_gain or wider and g == best_gain:
-                            best, best_gain = (f, above, k), g
-            if best is None:
-                break
-            conditions.append(best)
-            grow = [x for x in grow if _match(x[0], [best])]
-        if not conditions:
+class Rules(list):
+    """Rules in the order in which they apply, and the verdict where none does."""
+
+    def __init__(self, rules=(), default: bool = True):
+        super().__init__(rules)
+        self.default = default
+
+
+def _grown(cuts: dict[str, list[float]], rows, target: int) -> list[tuple[str, bool, int]]:
+    """Conditions of the conjunction for `target` that gains most, step by step. A condition (f, above, k) holds for bins over k, that is, for values over the k-th threshold."""
+    conditions, grow = [], rows
+    while len(conditions) < MAX_CONDITIONS and _count(grow, target)[0] and _count(grow, target)[1]:
+        now, best, best_gain = _count(grow, target), None, 1e-9
+        for f in FEATURES:
+            per = {}
+            for bins, label, n in grow:
+                c = per.setdefault(bins[f], [0, 0])
+                c[label != target] += n
+            low = [0, 0]
+            for k in range(len(cuts[f])):
+                at = per.get(k, (0, 0))
+                low = [low[0] + at[0], low[1] + at[1]]
+                for above, after in ((False, tuple(low)), (True, (now[0] - low[0], now[1] - low[1]))):
+                    # of equal conditions on one feature, the one that leaves most room to the other class
+                    wider = best is not None and above and best[:2] == (f, True)
+                    if (g := _gain(now, after)) > best_gain or wider and g == best_gain:
+                        best, best_gain = (f, above, k), g
+        if best is None:
             break
+        conditions.append(best)
+        grow = [x for x in grow if _match(x[0], [best])]
+    return conditions
 
-        def worth(cs) -> float:
-            p, n = _count([x for x in prune_all if _match(x[0], cs)], target)
-            return (p + 1) / (p + n + 2)
 
-        while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
-            conditions = conditions[:-1]
-        p, n = _count([x for x in [*grow_all, *prune_all] if _match(x[0], conditions)], target)
-        if worth(conditions) < MIN_PRECISION or p < MIN_COVERED or p / (p + n) < MIN_PRECISION:
+def learn(cuts: dict[str, list[float]], rows) -> Rules:
+    """Sequential covering over binned rows."""
+    grow_all, prune_all = [x for i, x in enumerate(rows) if i % 3], [x for i, x in enumerate(rows) if not i % 3]
+    out = Rules()
+    while len(out) < MAX_RULES:
+        choices = []
+        for target in (0, 1):
+            if not (conditions := _grown(cuts, grow_all, target)):
+                continue
+
+            def worth(cs, target=target) -> float:
+                p, n = _count([x for x in prune_all if _match(x[0], cs)], target)
+                return (p + 1) / (p + n + 2)
+
+            while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
+                conditions = conditions[:-1]
+            p, n = _count([x for x in [*grow_all, *prune_all] if _match(x[0], conditions)], target)
+            if worth(conditions) >= MIN_PRECISION and p >= MIN_COVERED and p / (p + n) >= MIN_PRECISION:
+                # rules of like worth: those for bad rows first, since a wrong rule for good ones would hide them
+                choices.append((round(p / (p + n), 2), -target, target, conditions))
+        if not choices:
             break
+        *_, target, conditions = max(choices, key=lambda c: c[:2])
         # bins count thresholds strictly below a value: bin > k means value > cuts[k]
         out.append(Rule(tuple(Condition(f, above, float(cuts[f][k])) for f, above, k in conditions), keep=target == 1))
         grow_all = [x for x in grow_all if not _match(x[0], conditions)]
         prune_all = [x for x in prune_all if not _match(x[0], conditions)]
+    good, bad = _count([*grow_all, *prune_all], 1)
+    out.default = good >= bad
     return out
 
 
-def verdict(rules: list[Rule], default: bool = True) -> Column:
+def verdict(rules: list[Rule], default: bool | None = None) -> Column:
     """The list as one conditional expression: the first rule that holds decides."""
+    default = getattr(rules, "default", True) if default is None else default
     out = None
     for r in rules:
         out = F.when(r.column(), F.lit(r.keep)) if out is None else out.when(r.column(), F.lit(r.keep))
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
-def fit(docs: DataFrame, labels: DataFrame, **kw) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, **kw) -> Rules:
     cuts, rows = labelled_statistics(docs, labels, **kw)
     return learn(cuts, rows)
 

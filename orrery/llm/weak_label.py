@@ -4,11 +4,12 @@ Labellers look at a text and vote good, bad, or nothing, on two questions: is it
 labels are two more labellers, which know only some documents. Votes of all documents are counted by pattern; from the counts,
 expectation-maximisation estimates how often each labeller is right, and with it the chance that a document of each pattern is good.
 These posterior labels train one linear scorer for each question over hashed features (beginnings of words, and cut-up statistics),
-by stochastic gradient steps with shrinkage, on at most MAX_TRAINING documents (the smallest hashes of ids among the labelled,
-or among all where there are no labels). A document is kept if both scorers find it good.
+by stochastic gradient steps with shrinkage, on at most MAX_TRAINING documents (the smallest hashes of ids among the labelled) and
+MAX_UNLABELLED others, of which those count, for less, whose posterior stands on the other side than the prior. Without labels all are from all documents. A document is kept if both scorers find it good.
 
 Null and empty texts have no vote against them and are kept or not by the scorers' bias alone, like any other text; repeated
-rows are judged alike; an empty table gives an empty result; extra columns are ignored (and kept by `keep`).
+rows are judged alike; an empty table gives an empty result; extra columns are ignored (and kept by `keep`). Texts of any length are
+taken whole. Contradictory labels of one id cancel out.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ BITS = 18
 EPOCHS = 4
 RATE = 0.15
 SHRINK = 2e-4
+#: Unlabelled documents that train the scorers too, at most, and what one weighs beside a labelled one.
+MAX_UNLABELLED = 2_000
+UNLABELLED_WEIGHT = 0.2
 SEED = 11
 #: Words remembered in a task, about 300 bytes each.
 REMEMBERED = 80_000
@@ -210,21 +214,22 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds
     return prior, accuracy, {p: float(g) for (p, _), g in zip(patterns, good)}
 
 
-def train_scorer(rows: list[np.ndarray], good: np.ndarray, only_against: bool = False) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, the rarer class weighing more; weights shrink towards zero at each use.
+def train_scorer(rows: list[np.ndarray], good: np.ndarray, only_against: bool = False, sure: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, the rarer class weighing more, each row as much as it is sure; weights shrink towards zero at each use.
 
     only_against: no feature speaks for a text, so that a long one can't outweigh what is wrong with it.
     """
     w, b = np.zeros(1 << BITS), 2.0 if only_against else 0.0
     g2 = np.full(1 << BITS, 1e-2)
-    total = max(good.sum(), 1e-9), max((1 - good).sum(), 1e-9)
+    sure = np.ones(len(rows)) if sure is None else sure
+    n, total = sure.sum(), (max((sure * good).sum(), 1e-9), max((sure * (1 - good)).sum(), 1e-9))
     r = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in r.permutation(len(rows)):
             x, y = rows[i], good[i]
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[x].sum() + b))))
-            weight = min(4.0, len(rows) / 2 / total[0]) * y + min(4.0, len(rows) / 2 / total[1]) * (1 - y)
-            g = weight * (y - p)
+            weight = min(4.0, n / 2 / total[0]) * y + min(4.0, n / 2 / total[1]) * (1 - y)
+            g = sure[i] * weight * (y - p)
             g2[x] += g * g
             step = w[x] + RATE * g / np.sqrt(g2[x])
             step = np.sign(step) * np.maximum(0, np.abs(step) - SHRINK)
@@ -257,13 +262,14 @@ def fit(docs: DataFrame, labels: DataFrame | None, bound: int = MAX_TRAINING, id
         prior[task], accuracy[task], posterior[task] = expectation_maximisation(sorted(patterns.items()))
 
     source = docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull())
-    known = _given(labels, id_col) if labels is not None else None
-    chosen = (known if known is not None and not known.isEmpty() else source).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(bound)
-    sample = source.join(F.broadcast(chosen), id_col, "left_semi")
-    if known is not None:
-        sample = sample.join(F.broadcast(known.join(F.broadcast(chosen), id_col, "left_semi")), id_col, "left").fillna(0, list(GIVEN.values()))
+    ids = source.select(id_col).distinct()
+    smallest = lambda df, n: df.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    if labels is not None:
+        known = _given(labels, id_col)
+        chosen, others = smallest(known, bound), smallest(ids.join(known.select(id_col), id_col, "left_anti"), MAX_UNLABELLED)
+        sample = source.join(F.broadcast(chosen.unionByName(others)), id_col, "left_semi").join(F.broadcast(known.join(F.broadcast(chosen), id_col, "left_semi")), id_col, "left").fillna(0, list(GIVEN.values()))
     else:
-        sample = sample.withColumns({n: F.lit(0) for n in GIVEN.values()})
+        sample = source.join(F.broadcast(smallest(ids, bound)), id_col, "left_semi").withColumns({n: F.lit(0) for n in GIVEN.values()})
 
     def make():
         reader = Reader()
@@ -275,12 +281,14 @@ def fit(docs: DataFrame, labels: DataFrame | None, bound: int = MAX_TRAINING, id
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = map_rows(sample.select(id_col, text_col, *GIVEN.values()), make, f"{id_col} {kind}, " + ", ".join(f"{n} int" for n in every) + ", x_quality binary, x_clean binary").orderBy(F.xxhash64(id_col), id_col).limit(bound).collect()
+    rows = map_rows(sample.select(id_col, text_col, *GIVEN.values()), make, f"{id_col} {kind}, " + ", ".join(f"{n} int" for n in every) + ", x_quality binary, x_clean binary").dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(bound + MAX_UNLABELLED).collect()
     weights, bias = [], []
     for task in TASKS:
         names = labellers_of(task)
         y = np.array([posterior[task].get(tuple(r[n] for n in names), 0.5) for r in rows])
-        w, b = train_scorer([np.frombuffer(r[f"x_{task}"], np.int32) for r in rows], y, task == "clean") if len(rows) else (np.zeros(1 << BITS), 1.0)
+        # without a label, what tells something is a posterior on the other side than the prior
+        sure = np.array([1.0 if r[GIVEN[task]] else UNLABELLED_WEIGHT * ((p < 0.5) != (prior[task] < 0.5)) for r, p in zip(rows, y)]) if labels is not None else None
+        w, b = train_scorer([np.frombuffer(r[f"x_{task}"], np.int32) for r in rows], y, task == "clean", sure) if len(rows) else (np.zeros(1 << BITS), 1.0)
         weights.append(w)
         bias.append(b)
     return Model(np.array(weights, np.float32), np.array(bias), prior, {t: dict(zip(labellers_of(t), a.tolist())) for t, a in accuracy.items()})

@@ -75,7 +75,13 @@ def test_quality_rules_rows(spark):
     got = by_id(quality_rules.judge(odd(spark), rules))
     assert len(got[5]) == 2 and all(x["base_failed"] and not x["kept"] for x in got[1] + got[2] + got[4] + got[5])
     assert quality_rules.judge(docs(spark, []), rules).count() == 0
-    assert quality_rules.fit(d, labels(spark, [])) == [] and quality_rules.fit(docs(spark, []), labels(spark, [(1, 0, 0)])) == []
+    for empty in (quality_rules.fit(d, labels(spark, [])), quality_rules.fit(docs(spark, []), labels(spark, [(1, 0, 0)]))):
+        assert list(empty) == [] and empty.default
+    # the list as Spark runs it, against a plain reading of it
+    rows = quality_rules.judge(d, rules).join(quality_rules.statistics(d).select("doc_id", *quality_rules.FEATURES[1:]), "doc_id").collect()
+    for x in rows:
+        first = next((i for i, rule in enumerate(rules) if rule.holds(x.asDict())), None)
+        assert x["rule"] == first and x["kept"] == (not x["base_failed"] and (rules[first].keep if first is not None else rules.default))
     judged = quality_rules.judge(d, rules).join(table(spark, SF, "labels"), "doc_id").where("not base_failed")
     assert judged.where("quality = 1 and not kept").count() == 0
     assert all(isinstance(r, quality_rules.Rule) for r in rules)
@@ -187,6 +193,18 @@ def test_classifier(spark):
         assert weak_label.score(d, empty).count() == d.count()
 
 
+def test_classifier_on_labels_held_out_of_it(spark):
+    folder = SF.replace("0.001", "0.01")
+    d, known = table(spark, folder, "documents"), table(spark, folder, "labels")
+    kept_out = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    model = weak_label.fit(d, known.join(kept_out, "doc_id", "left_anti"))
+    got = weak_label.score(d, model).select("doc_id", "kept").join(kept_out, "doc_id").select("kept", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).collect()
+    assert len(got) > 20 and sum(x["kept"] == x["good"] for x in got) >= 0.9 * len(got)
+    alone = weak_label.fit(d, None)  # by the heuristics alone
+    got = weak_label.score(d, alone).select("doc_id", "kept").join(known, "doc_id").select("kept", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).collect()
+    assert sum(x["kept"] == x["good"] for x in got) >= 0.8 * len(got)
+
+
 def test_licenses(spark):
     got = by_id(license_scan.scan(docs(spark, [(1, None), (2, "Licensed under the Apach License, version 2.0!"), (3, "all  rights\nreserved"), (3, "x"), (4, LONG)])))
     assert got[1][0]["labels"] == "" and got[2][0]["labels"] == "apache-2.0" and 0.9 < got[2][0]["score"] < 1 and got[2][0]["base_labels"] == ""
@@ -338,6 +356,20 @@ def test_urls(spark):
         url_filter.MAP_RULES = old
 
 
+def test_urls_by_index_equal_all_expressions(spark, monkeypatch):
+    r = random.Random(31)
+    tokens = sorted({t for p in url_filter.PATTERNS for t in re.findall(r"[a-z0-9]+", p)})
+    made = ["".join([r.choice(["http://", "https://www.", "HTTP://x."]), *(r.choice([*tokens, "aa", "com"]) + r.choice([".", "/", "-", "?", "=", "&", "_", "", "/", "."]) for _ in range(r.randint(1, 9)))]) for _ in range(1500)]
+    made += ["https://a.ads.com/", "http://cdn.a.com/banner/x.gif", "http://a.com/out.php?x=1&url=b", "http://a.com/track/1/open.gif", "http://win9.casino.com/"]
+    want = [any(re.search(url_filter.regex_of(p), u.lower()) for p in url_filter.PATTERNS) for u in made]
+    assert 300 < sum(want) < 1200
+    df = spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string")
+    for bound in (url_filter.MAP_RULES, 0):
+        monkeypatch.setattr(url_filter, "MAP_RULES", bound)
+        got = {x["page_id"]: x["verdict"] == "block" for x in url_filter.judge(df, site_rules=(("nowhere.invalid", "/", "allow"),)).collect()}
+        assert [got[i] for i in range(len(made))] == want
+
+
 def test_bpe_rows(spark):
     from tokenizers import Tokenizer
 

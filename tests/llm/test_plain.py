@@ -300,8 +300,17 @@ def test_decision_list_is_learned():
         bad = bins["symbol_share"] and bins["n_words"]
         rows.append((bins, 0 if bad else 1, 1))
     rules = quality_rules.learn(cuts, rows)
-    assert rules and all(any(x.holds({f: b[f] for f in b}) for x in rules) == (label == 0) for b, label, _ in rows)
+    decided = lambda b: next((x.keep for x in rules if x.holds(b)), rules.default)
+    assert rules and all(decided(b) == (label == 1) for b, label, _ in rows)
     assert quality_rules.learn(cuts, []) == []
+    # mostly bad, with good ones that have an exception: needs rules of both classes in order
+    rows = []
+    for _ in range(900):
+        bins = {f: r.randint(0, 1) for f in quality_rules.FEATURES}
+        good = bins["mean_word"] and not (bins["symbol_share"] and bins["n_words"])
+        rows.append((bins, int(good), 1))
+    rules = quality_rules.learn(cuts, rows)
+    assert {x.keep for x in rules} | {rules.default} == {True, False} and all(decided(b) == (label == 1) for b, label, _ in rows)
 
 
 def test_accuracies_are_recovered():
@@ -329,3 +338,7 @@ def test_url_patterns():
     assert url_filter.tokens_of("^free-bets^") == ["free", "bets"] and url_filter.tokens_of("ads*track^") == []
     p = re.compile(url_filter.regex_of("^ads-track^"))
     assert p.search("http://ads-track.example.com") and p.search("x/ads-track") and not p.search("http://bads-track.com")
+    host = re.compile(url_filter.regex_of("||ads."))
+    assert host.search("http://ads.x.com/") and host.search("https://www.ads.x.com/") and not host.search("http://x.com/ads.html") and not host.search("http://bads.x.com")
+    path = re.compile(url_filter.regex_of("||cdn.*/banner/*.gif|"))
+    assert path.search("http://a.cdn.x.com/1/banner/2.gif") and not path.search("http://a.cdn.x.com/1/banner/2.gif?x") and not path.search("http://cdn.x.com/banners/2.gif")
