@@ -45,7 +45,7 @@ def _name(role: Column) -> Column:
 def _in_pieces(turns: DataFrame, part_turns: int) -> DataFrame:
     """Turns with piece: 0, or in parts with too many rows a number that sorts like the turns do."""
     counts = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n")).where(F.col("n") > 2 * part_turns)
-    crowded = materialise(counts.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.ceil(F.col("n") / part_turns).cast("long").alias("_n")), "crowded")
+    crowded = materialise(counts.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.ceil(F.col("n") / part_turns).cast("long").alias("_n")), "crowded", narrow=True)
     if crowded.isEmpty():
         return turns.withColumn("piece", F.lit(0).cast("long"))
     joined = turns.withColumn("_i", F.monotonically_increasing_id()).join(crowded, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left")

@@ -31,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def materialise(df: DataFrame, hint: str = "part") -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def materialise(df: DataFrame, hint: str = "part", narrow: bool = False) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    narrow: rows of a few numbers, that need no more files than twice the cores of the cluster.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/orrery/{hint}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

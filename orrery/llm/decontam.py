@@ -108,5 +108,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that overlap with no benchmark item, with all their columns; rows without an id stay."""
-    bad = materialise(overlaps(docs, benchmark, id_col, text_col).select(id_col).distinct(), "bad")
+    bad = materialise(overlaps(docs, benchmark, id_col, text_col).select(id_col).distinct(), "bad", narrow=True)
     return without_ids(docs, bad, id_col)

@@ -40,7 +40,7 @@ NEIGHBOURS = 4
 #: Classes of a region that is compared at MIN_DEPTH, at most.
 CROWD = 4096
 #: Classes, and shingles of all classes together, in one block.
-BLOCK = 2048
+BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 THRESHOLD = (80, 100)
 #: Sketch bits that must agree: at similarity s, (1 + s) / 2 of them do; at 0.8, 90 % with a deviation of 2.4 %.
@@ -332,12 +332,12 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
 
     labelled = classes.select("cid", "n", "sig").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     shallow = regions(labelled)
-    open_shallow = materialise(_open(shallow), "open")
+    open_shallow = materialise(_open(shallow), "open", narrow=True)
     members = shallow.join(open_shallow.where(F.col("m") <= CROWD), "prefix").drop("m")
-    crowded = materialise(shallow.join(open_shallow.where(F.col("m") > CROWD), "prefix").select("cid").distinct(), "crowded")
+    crowded = materialise(shallow.join(open_shallow.where(F.col("m") > CROWD), "prefix").select("cid").distinct(), "crowded", narrow=True)
     deep = regions(labelled.join(crowded, "cid", "left_semi"), deep=True)
-    members = materialise(members.unionByName(deep.join(_open(deep), "prefix").drop("m")), "members")
-    dealt = materialise(_dealt(members), "dealt")
+    members = materialise(members.unionByName(deep.join(_open(deep), "prefix").drop("m")), "members", narrow=True)
+    dealt = materialise(_dealt(members), "dealt", narrow=True)
     columns = ["prefix", "b1", "b2", "role", "cid", "comp", "n", "sketch", "wide"]
     sorted_ = lambda df: df.repartition("prefix", "b1", "b2").sortWithinPartitions("prefix", "b1", "b2")
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -430,15 +430,15 @@ def components(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     # each task first joins what its own edges connect; that leaves short paths
-    now = materialise(edges.select("a", "b").mapInArrow(contract, "u bigint, v bigint").where("u > v").distinct(), "edges")
+    now = materialise(edges.select("a", "b").mapInArrow(contract, "u bigint, v bigint").where("u > v").distinct(), "edges", narrow=True)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", narrow=True)
+        large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", narrow=True)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least", narrow=True)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        before, now = now, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star")
+        before, now = now, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "star", narrow=True)
         discard(before, low, large, least)
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen:
@@ -452,9 +452,9 @@ def _same_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: classes that one id connects, where rows repeat an id with another text."""
     rows = sets.where("fp is not null and doc is not null")
     again = rows.groupBy("doc").agg(F.min(F.xxhash64("fp")).alias("lo"), F.max(F.xxhash64("fp")).alias("hi")).where("lo < hi").select("doc")
-    held = materialise(rows.select("doc", "fp").join(again, "doc", "left_semi").distinct().join(classes.select("fp", "cid"), "fp").select("doc", "cid"), "again")
-    least = materialise(held.groupBy("doc").agg(F.min("cid").alias("a")), "least")
-    return materialise(held.join(least, "doc").where("cid > a").select("a", F.col("cid").alias("b")), "same")
+    held = materialise(rows.select("doc", "fp").join(again, "doc", "left_semi").distinct().join(classes.select("fp", "cid"), "fp").select("doc", "cid"), "again", narrow=True)
+    least = materialise(held.groupBy("doc").agg(F.min("cid").alias("a")), "least", narrow=True)
+    return materialise(held.join(least, "doc").where("cid > a").select("a", F.col("cid").alias("b")), "same", narrow=True)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,32 +462,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     sets = materialise(sketches(docs, k, id_col, text_col), "sets")
     first = sets.where("fp is not null and doc is not null").groupBy("fp").agg(F.min(F.struct("doc", "t", "n", "sig")).alias("x"))
     classes = materialise(first.select("fp", "x.*", F.monotonically_increasing_id().alias("cid")), "classes")
-    pairs = materialise(neighbours(classes), "pairs")
+    pairs = materialise(neighbours(classes), "pairs", narrow=True)
 
     # for each class its closest neighbour, and the smallest of those that are close
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = sides.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("x"), F.min(F.when(F.col("agree") >= round(0.9 * N_HASHES), F.col("b"))).alias("least"))
-    early = materialise(best.select("a", F.explode(F.array_compact(F.array(-F.col("x.b"), "least"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "early")
+    early = materialise(best.select("a", F.explode(F.array_compact(F.array(-F.col("x.b"), "least"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "early", narrow=True)
 
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     ends = early.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     texts = materialise(texts_of(source, classes, ends), "texts")
     near, same = materialise(verify(early, texts, k), "links"), _same_id(sets, classes)
-    comps = materialise(components(near.unionByName(same)), "comps")
+    comps = materialise(components(near.unionByName(same)), "comps", narrow=True)
     discard(pairs, early, texts, near, same)
 
     # links between components: all that counts is what they connect
     links = open_links(classes, comps, source, k)
     if not links.isEmpty():
-        before, above = comps, materialise(components(links).select(F.col("cid").alias("comp"), F.col("comp").alias("top")), "above")
+        before, above = comps, materialise(components(links).select(F.col("cid").alias("comp"), F.col("comp").alias("top")), "above", narrow=True)
         alone = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(before, "cid", "left_anti").select("cid", F.col("cid").alias("comp"))
-        comps = materialise(before.unionByName(alone).join(above, "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp")), "comps")
+        comps = materialise(before.unionByName(alone).join(above, "comp", "left").select("cid", F.coalesce("top", "comp").alias("comp")), "comps", narrow=True)
         discard(before, above)
 
     # the smallest id of each component, then of each set; written before they are joined, so that a set or component of very many rows can be split among tasks
-    labelled = materialise(classes.select("cid", "fp", "doc").join(comps, "cid", "left").select("fp", "doc", F.coalesce("comp", "cid").alias("comp")), "labelled")
-    least = materialise(labelled.groupBy("comp").agg(F.min("doc").alias("least")), "least")
-    reps = materialise(labelled.join(least, "comp").select("fp", "least"), "reps")
+    labelled = materialise(classes.select("cid", "fp", "doc").join(comps, "cid", "left").select("fp", "doc", F.coalesce("comp", "cid").alias("comp")), "labelled", narrow=True)
+    least = materialise(labelled.groupBy("comp").agg(F.min("doc").alias("least")), "least", narrow=True)
+    reps = materialise(labelled.join(least, "comp").select("fp", "least"), "reps", narrow=True)
     discard(links, comps, labelled, least, classes)
     rows = sets.select("doc", "n", "fp")
     out = rows.where("fp is not null").join(reps, "fp", "left").unionByName(rows.where("fp is null").withColumn("least", F.lit(None).cast(rows.schema["doc"].dataType)))
@@ -497,5 +497,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 
 def deduplicate(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all columns; rows without id stay."""
-    gone = materialise(near_duplicates(docs, k, id_col, text_col).where("not kept").select(id_col).distinct(), "gone")
+    gone = materialise(near_duplicates(docs, k, id_col, text_col).where("not kept").select(id_col).distinct(), "gone", narrow=True)
     return without_ids(docs, gone, id_col)
