@@ -31,3 +31,10 @@ def assign_buckets(df: DataFrame, year: str = "date_year") -> DataFrame:
 def allowed_sources(publications: DataFrame, year: str = "date_year") -> DataFrame:
     """Distinct bucket, source_id."""
     return assign_buckets(publications.select(year, "source_id"), year).select("bucket", "source_id").distinct()
+
+
+def expect_sources(year_sources: DataFrame) -> DataFrame:
+    """Allowed sources; an error where no year bucket has any."""
+    if year_sources.isEmpty():
+        raise ValueError(f"no publications of the years {FIRST} to {LAST}")
+    return year_sources

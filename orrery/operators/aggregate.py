@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from orrery.functions import modes as M
 from orrery.functions import vectors as V
 from orrery.operators import distributed
+from orrery.sources import sinks
 
 KEY = ["source_id"]
 DEFAULT_MODES = "mean,sum,max,median,cosmean,rm1pc,softmax,geom,medoid,tmean@0.8,winsor@0.1,kmeans@4,pcfuse@2,svdshrink@0.1,huber@0.2,attn2@10,subtrim@3,0.8"
@@ -111,19 +112,19 @@ def trimmed_mean(df: DataFrame, p: float = 0.8) -> DataFrame:
 def winsorised(df: DataFrame, a: float = 0.1) -> DataFrame:
     """Mean after clipping each element to its quantiles a and 1 - a; fewer than five publications are left unclipped."""
     a = M.clamp(a, 0.0, 0.49)
-    rows = V.elements(_alone(df), KEY, carry=["n"])
+    rows = _alone(df)
     if a > 0:
-        # both quantiles come from one pass: arrays of two
-        cuts = rows.groupBy(*KEY, "i").agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
-        rows = rows.join(cuts, [*KEY, "i"])
-        clipped = F.when(F.col("n") < 5, F.col("x")).otherwise(F.greatest(F.col("q")[0], F.least(F.col("q")[1], F.col("x"))))
-        rows = rows.withColumn("x", clipped)
-    return _renormalised(V.gather(rows.groupBy(*KEY, "i").agg(F.avg("x").alias("x")), KEY))
+        # both quantiles come from one pass; gathered to two vectors a source, so that the rows are joined whole
+        cuts = V.elements(rows, KEY).groupBy(*KEY, "i").agg(F.percentile("x", F.array(F.lit(a), F.lit(1 - a))).alias("q"))
+        packed = cuts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_c")).select(*KEY, F.transform("_c", lambda c: c["q"][0]).alias("_low"), F.transform("_c", lambda c: c["q"][1]).alias("_high"))
+        clipped = F.zip_with(F.zip_with("embedding", "_low", lambda x, y: F.greatest(x, y)), "_high", lambda x, y: F.least(x, y))
+        rows = rows.join(packed, "source_id").withColumn("embedding", F.when(F.col("n") < 5, F.col("embedding")).otherwise(clipped)).drop("_low", "_high")
+    return _renormalised(V.aggregate(rows, KEY, F.avg))
 
 
 def without_first_component(df: DataFrame) -> DataFrame:
     """cosmean less its part along the first (uncentred) principal direction of all sources' cosmeans."""
-    c = cosmean(df).persist()
+    c = sinks.stored(cosmean(df), "cosmean")  # one vector a source; read twice
 
     def gram(batches):
         import pandas as pd
@@ -266,7 +267,7 @@ AGGREGATORS: dict[str, Callable[[DataFrame, tuple, int, float], DataFrame]] = {
     "medoid": lambda d, p, seed, tau: medoid(d),
     "tmean": lambda d, p, seed, tau: trimmed_mean(d, _parameter(p, 0, 0.8)),
     "winsor": lambda d, p, seed, tau: winsorised(d, _parameter(p, 0, 0.1)),
-    "kmeans": lambda d, p, seed, tau: grouped(d, lambda x: largest_cluster(x, M.whole(_parameter(p, 0, 4), 2), seed)),
+    "kmeans": lambda d, p, seed, tau: by_size(d, lambda x: largest_cluster(x, M.whole(_parameter(p, 0, 4), 2), seed), lambda large: distributed.largest_cluster(large, M.whole(_parameter(p, 0, 4), 2), seed)),
     "pcfuse": lambda d, p, seed, tau: by_size(d, lambda x: fused_components(x, M.whole(_parameter(p, 0, 2), 1)), lambda large: distributed.fused_components(large, M.whole(_parameter(p, 0, 2), 1))),
     "svdshrink": lambda d, p, seed, tau: by_size(d, lambda x: shrunk_components(x, _parameter(p, 0, 0.1)), lambda large: distributed.shrunk_components(large, _parameter(p, 0, 0.1))),
     "huber": lambda d, p, seed, tau: by_size(d, lambda x: huber_centre(x, _parameter(p, 0, 0.2)), lambda large: distributed.huber_centre(large, _parameter(p, 0, 0.2))),

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources import jsonl
+
 KS = (1, 3, 5, 10, 20)
+TASKS = ("journal", "conference")
+#: <folder>/<task>/<version>_results/../<model>.jsonl
+TREE = r"/(journal|conference)/(v[0-9]+)_results/(?:.*/)?([^/]+)\.jsonl(?:\.gz)?$"
+
+
+def predictions_of_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """task, version, model, id, results of all prediction files of a tree: <task>/<version>_results/../<model>.jsonl."""
+    rows = jsonl.read(spark, folder, jsonl.RESULTS, ("id",), glob="*.jsonl*", recursive=True)
+    part = lambda i: F.regexp_extract("file", TREE, i)
+    return rows.where(F.regexp_like("file", F.lit(TREE))).select(part(1).alias("task"), part(2).alias("version"), F.concat_ws("/", part(1), part(2), part(3)).alias("model"), "id", "results")
+
+
+def evaluate_tree(spark: SparkSession, folder: str, truths: dict[str, DataFrame], ks=KS) -> DataFrame:
+    """Metrics of every model file of a tree against the truth of its task; model is task/version/name."""
+    rows = predictions_of_tree(spark, folder)
+    if missing := {r["task"] for r in rows.select("task").distinct().collect()} - set(truths):  # two tasks at most
+        raise ValueError(f"no truth for {', '.join(sorted(missing))}")
+    out = None
+    for task in TASKS:
+        if task in truths:
+            one = evaluate(rows.where(F.col("task") == task).select("model", "id", "results"), truths[task], ks)
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def truth_of(publications: DataFrame) -> DataFrame:

@@ -12,9 +12,12 @@ from pyspark.sql.window import Window
 from orrery.functions import vectors as V
 from orrery.functions import years as Y
 from orrery.functions.modes import pool_label
+from orrery.sources import jsonl, sinks
 
-#: Bytes of query vectors sent to the executors at once; more queries go in several passes.
+#: Bytes of the queries of one pass, with the best of each so far, in a task; more queries go in several passes over the index.
 BLOCK_BYTES = 64 << 20
+#: Bytes of scores, ids and the best so far that a task holds at once while it works through a batch.
+TILE_BYTES = 32 << 20
 #: Pairs up to which the relational form is chosen.
 SQL_PAIRS = 2_000_000
 
@@ -38,14 +41,19 @@ def _relational(queries: DataFrame, index: DataFrame, k: int, item: str) -> Data
     return top(pairs, ["qid"], k, item)
 
 
-def _block(queries: DataFrame, index: DataFrame, k: int, item: str) -> DataFrame:
-    """The index stays where it is: each of its partitions scores a broadcast block of queries as matrix products and gives its own best k."""
+def _in_blocks(queries: DataFrame, index: DataFrame, k: int, item: str, score, width) -> DataFrame:
+    """The index (bucket, item, ..) stays where it is: each of its partitions scores a broadcast block of queries as matrix products and gives its own best k.
+
+    score(q, rows): scores of the rows of a batch for each query; width(rows): how many numbers it needs for one query. The driver holds one
+    block at a time; with several passes the best of each are written before the next is sent out.
+    """
     spark = queries.sparkSession
+    kind = index.schema[item].dataType.simpleString()
+    schema = f"qid bigint, bucket int, {item} {kind}, score double"
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
     if not size["n"]:
-        return _relational(queries, index, k, item)
-    passes = math.ceil(size["n"] * size["d"] * 8 / BLOCK_BYTES)
-    kind = index.schema[item].dataType.simpleString()
+        return top(spark.createDataFrame([], schema), ["qid"], k, item)
+    passes = math.ceil(size["n"] * (8 * size["d"] + 16 * k) / BLOCK_BYTES)
     out = None
     for p in range(passes):
         part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
@@ -66,27 +74,52 @@ def _block(queries: DataFrame, index: DataFrame, k: int, item: str) -> DataFrame
                     if b not in packed.value:
                         continue
                     _, q = packed.value[b]
-                    s, ids = q @ np.stack(rows["v"]).T, np.broadcast_to(rows[item].to_numpy(), (len(q), len(rows)))
-                    if b in best:
-                        s, ids = np.hstack([best[b][0], s]), np.hstack([best[b][1], ids])
-                    if s.shape[1] > k:
-                        order = np.lexsort((ids, -s))[:, :k]
-                        s, ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-                    best[b] = (s, ids)
+                    new, parts = rows[item].to_numpy(), []
+                    old = best.get(b)
+                    step = max(1, TILE_BYTES // (8 * width(rows) + 16 * (k + len(rows))))
+                    for lo in range(0, len(q), step):
+                        s = score(q[lo : lo + step], rows)
+                        ids = np.broadcast_to(new, s.shape)
+                        if old is not None:
+                            s, ids = np.hstack([old[0][lo : lo + step], s]), np.hstack([old[1][lo : lo + step], ids])
+                        if s.shape[1] > k:
+                            order = np.lexsort((ids, -s))[:, :k]
+                            s, ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+                        parts.append((s, ids))
+                    best[b] = tuple(np.vstack(x) for x in zip(*parts))
             for b, (s, ids) in best.items():
-                qid = packed.value[b][0]
-                yield pd.DataFrame({"qid": np.repeat(qid, s.shape[1]), "bucket": b, item: ids.ravel(), "score": s.ravel()})
-
-        one = index.select("bucket", item, "v").mapInPandas(run, f"qid bigint, bucket int, {item} {kind}, score double")
+                qid, step = packed.value[b][0], max(1, TILE_BYTES // (40 * s.shape[1]))
+                for lo in range(0, len(qid), step):
+                    yield pd.DataFrame({"qid": np.repeat(qid[lo : lo + step], s.shape[1]), "bucket": b, item: ids[lo : lo + step].ravel(), "score": s[lo : lo + step].ravel()})
+
+        one = index.mapInPandas(run, schema)
+        if passes > 1:
+            one = sinks.stored(top(one, ["qid"], k, item).drop("rank"), "topk")
+            packed.destroy()
         out = one if out is None else out.unionByName(one)
     return top(out, ["qid"], k, item)
 
 
+def _block(queries: DataFrame, index: DataFrame, k: int, item: str) -> DataFrame:
+    return _in_blocks(queries, index.select("bucket", item, "v"), k, item, lambda q, rows: q @ np.stack(rows["v"]).T, len)
+
+
+def expect_index(index: DataFrame) -> DataFrame:
+    """The index; an error where it has no vector at all."""
+    if index.where(V.is_valid(F.col("embedding"))).isEmpty():
+        raise ValueError("the index holds no vectors")
+    return index
+
+
+def _method(queries: DataFrame, index: DataFrame) -> str:
+    pairs = queries.groupBy("bucket").count().withColumnRenamed("count", "m").join(index.groupBy("bucket").count(), "bucket").agg(F.sum(F.col("m") * F.col("count"))).first()[0]
+    return "block" if (pairs or 0) > SQL_PAIRS else "sql"
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, item: str, method: str = "auto") -> DataFrame:
     """qid, bucket, item, score, rank. queries: qid, bucket, q; index: bucket, item, v; vectors of length 1."""
     if method == "auto":
-        pairs = queries.groupBy("bucket").count().withColumnRenamed("count", "m").join(index.groupBy("bucket").count(), "bucket").agg(F.sum(F.col("m") * F.col("count"))).first()[0]
-        method = "block" if (pairs or 0) > SQL_PAIRS else "sql"
+        method = _method(queries, index)
     if method not in ("sql", "block"):
         raise ValueError(f"method {method!r}: not auto, sql or block")
     return (_block if method == "block" else _relational)(queries, index, k, item)
@@ -111,6 +144,9 @@ def rank_sources(queries: DataFrame, model: DataFrame, year_sources: DataFrame,
     return knn(prepare_queries(queries, drop_tiny=False), rows, k, "source_id", method)
 
 
+POOLS = ("max", "mean", "softmax", "topm")
+
+
 def _pooled(pool: str, tau: float, m: int, use_priors: bool, scored: DataFrame) -> DataFrame:
     keys = ["qid", "bucket", "source_id"]
     s = F.col("s")
@@ -130,11 +166,76 @@ def _pooled(pool: str, tau: float, m: int, use_priors: bool, scored: DataFrame)
     raise ValueError(f"unknown pool {pool!r}: not max, mean, softmax or topm")
 
 
-def rank_prototypes(queries: DataFrame, prototypes: DataFrame, year_sources: DataFrame, k: int = 50, pool: str = "softmax", tau: float = 10.0, m: int = 3, use_priors: bool = False) -> DataFrame:
-    """qid, bucket, source_id, score, rank, pool. prototypes: source_id, embedding, prior."""
-    rows = candidates(prototypes, year_sources).select("bucket", "source_id", "prior", V.unit(F.col("embedding")).alias("v"))
-    scored = prepare_queries(queries, drop_tiny=False).join(rows, "bucket").select("qid", "bucket", "source_id", "prior", V.dot(F.col("q"), F.col("v")).alias("s"))
-    return top(_pooled(pool, tau, m, use_priors, scored), ["qid"], k, "source_id").withColumn("pool", F.lit(pool_label(pool, tau, m)))
+def _pool_kernel(pool: str, tau: float, m: int, use_priors: bool):
+    """Scores of sources from packed prototypes (p: structs of v and prior), for a block of queries."""
+
+    def score(q, rows):
+        sizes = np.array([len(p) for p in rows["p"]])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        flat = [x for p in rows["p"] for x in p]
+        s, prior = q @ np.array([x["v"] for x in flat], float).T, np.array([x["prior"] for x in flat], float)
+        out = np.empty((len(q), len(sizes)))
+        for n in np.unique(sizes):  # sources of as many prototypes at once
+            which = np.flatnonzero(sizes == n)
+            at = starts[which][:, None] + np.arange(n)
+            x = s[:, at]
+            if pool == "max":
+                out[:, which] = x.max(2)
+            elif pool == "mean":
+                out[:, which] = x.mean(2)
+            elif pool == "topm":
+                out[:, which] = -np.sort(-x, axis=2)[:, :, :m].mean(2)
+            else:
+                e = np.exp(tau * (x - x.max(2, keepdims=True))) * (prior[at] if use_priors else 1.0)
+                out[:, which] = (e * x).sum(2) / np.maximum(e.sum(2), 1e-9)
+        return out
+
+    return score
+
+
+def rank_prototypes(queries: DataFrame, prototypes: DataFrame, year_sources: DataFrame, k: int = 50, pool: str = "softmax", tau: float = 10.0, m: int = 3, use_priors: bool = False, method: str = "auto") -> DataFrame:
+    """qid, bucket, source_id, score, rank, pool. prototypes: source_id, embedding, prior.
+
+    block: a source's few prototypes are packed into one row, and each partition scores and pools them for a block of queries; sql: all pairs by a join.
+    """
+    if pool not in POOLS:
+        raise ValueError(f"unknown pool {pool!r}: not {', '.join(POOLS)}")
+    prepared = prepare_queries(queries, drop_tiny=False)
+    unit = prototypes.select("source_id", "prior", V.unit(F.col("embedding")).alias("v"))
+    if method == "auto":
+        method = _method(prepared, candidates(unit.select("source_id"), year_sources))
+    if method == "block":
+        packed = candidates(unit.groupBy("source_id").agg(F.collect_list(F.struct("v", "prior")).alias("p")), year_sources).select("bucket", "source_id", "p")
+        ranked = _in_blocks(prepared, packed, k, "source_id", _pool_kernel(pool, tau, m, use_priors), lambda rows: 4 * sum(map(len, rows["p"])))
+    elif method == "sql":
+        scored = prepared.join(candidates(unit, year_sources), "bucket").select("qid", "bucket", "source_id", "prior", V.dot(F.col("q"), F.col("v")).alias("s"))
+        ranked = top(_pooled(pool, tau, m, use_priors, scored), ["qid"], k, "source_id")
+    else:
+        raise ValueError(f"method {method!r}: not auto, sql or block")
+    return ranked.withColumn("pool", F.lit(pool_label(pool, tau, m)))
+
+
+def rank_models(spark, folder: str, prefix: str, queries: DataFrame, year_sources: DataFrame, k: int = 50, pool: str = "softmax", exclude: str | None = "0.8", method: str = "auto", **pooling) -> DataFrame:
+    """Runs of all queries for every model file of a folder, labelled by its name without the prefix; files that hold no model are passed over."""
+    from orrery.functions.texts import model_label
+    from orrery.operators import prototypes
+
+    out = None
+    for path in jsonl.find_models(spark, folder, prefix, exclude):
+        kind = jsonl.model_kind(spark, path)
+        if kind == "single":
+            ranked = rank_sources(queries, jsonl.read(spark, path, jsonl.SINGLE_MODEL, ("source_id", "embedding")), year_sources, k, method)
+        elif kind == "multi":
+            model = jsonl.read(spark, path, jsonl.MULTI_MODEL, ("source_id", "embeddings"))
+            ranked = rank_prototypes(queries, prototypes.rows_of(model), year_sources, k, pool, method=method, **pooling)
+        else:
+            continue
+        stem = path.rsplit("/", 1)[-1].removesuffix(".jsonl")
+        one = with_empty(as_runs(ranked, stem), queries, stem).withColumn("model", model_label(F.lit(stem), prefix))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no model files in {folder}")
+    return out
 
 
 def as_runs(ranked: DataFrame, model: str, item: str = "source_id") -> DataFrame:

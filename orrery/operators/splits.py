@@ -24,8 +24,13 @@ def holdout_size(n: Column) -> Column:
 
 
 def draw_key(id_: Column, seed: int) -> Column:
-    """A fixed pseudo-random number for each id; the same wherever and however often it is computed."""
-    return F.pmod(id_ * 2654435761 + F.lit(seed), F.lit(4294967296))
+    """A fixed pseudo-random number for each id, (id * 2654435761 + seed) mod 2**32; the same wherever and however often it is computed.
+
+    In two halves of the factor, so that no id is too large for a product of 64 bits.
+    """
+    low = F.pmod(id_, F.lit(1 << 32))
+    high, rest = divmod(2654435761, 1 << 16)
+    return F.pmod(F.pmod(low * high, F.lit(1 << 16)) * (1 << 16) + low * rest + F.lit(seed % (1 << 32)), F.lit(1 << 32))
 
 
 def holdout_ids(publications: DataFrame, seed: int = 42) -> DataFrame:
@@ -37,6 +42,23 @@ def holdout_ids(publications: DataFrame, seed: int = 42) -> DataFrame:
     return ranked.join(sizes, "source_id").where(F.col("_r") <= F.col("take")).select("source_id", "id")
 
 
+def routing_counts(publications: DataFrame, source_type: str = "source_type") -> DataFrame:
+    """How many rows there are, and how many of each kind or of no kind known."""
+    from orrery.functions.texts import source_kind
+
+    kind = source_kind(F.col(source_type))
+    return publications.agg(F.count("*").alias("read"), F.count_if(kind == "journal").alias("journal"), F.count_if(kind == "conference").alias("conference"), F.count_if(kind.isNull()).alias("skipped"))
+
+
+def year_counts(rows: DataFrame, year: str = "date_year") -> DataFrame:
+    """bucket, written: rows of each year bucket (also of empty ones), and under null all that were read."""
+    from orrery.functions import years as Y
+
+    every = rows.sparkSession.range(Y.FIRST, Y.LAST + 1).select(F.col("id").cast("int").alias("bucket"))
+    written = Y.assign_buckets(rows, year).groupBy("bucket").agg(F.count("*").alias("written"))
+    return every.join(written, "bucket", "left").fillna(0).unionByName(rows.agg(F.lit(None).cast("int").alias("bucket"), F.count("*").alias("written")))
+
+
 def split_by_ids(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with an id in ids, all others). Rows without an id are among the others."""
     chosen = ids.select("id").distinct()

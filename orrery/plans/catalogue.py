@@ -11,7 +11,7 @@ from orrery.functions import years as Y
 from orrery.operators import aggregate as A
 from orrery.operators import enrich, evaluate, fuse, prototypes, rank, splits
 from orrery.plans import fixtures as X
-from orrery.sources import jsonl
+from orrery.sources import jsonl, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +111,69 @@ for _name in prototypes.KERNELS:
     query(name=f"proto_{_name}")(_prototype(_name))
 
 
+# cases with one exact answer, whatever the draws
+
+_MEDOID = f"""{X.UNIT}, avgs as (select source_id, i, avg(x) x from ux group by all), s as (select ux.id, ux.source_id, ux.pos, sum(ux.x * a.x) s from ux join avgs a using (source_id, i) group by all),
+best as (select source_id, id, n from (select source_id, id, row_number() over (partition by source_id order by round(s, 12) desc, pos) r, count(*) over (partition by source_id) n from s) where r = 1)"""
+
+
+def _one_prototype(name: str):
+    def run(spark, sf_dir):
+        model = prototypes.aggregate_prototypes(X.publications(spark, sf_dir), f"{name}@1")
+        return _out(prototypes.rows_of(model))
+
+    return run
+
+
+for _name in ("kmeans", "softk"):
+    query(_SINGLE["cosmean"], f"proto_{_name}_of_one")(_one_prototype(_name))
+
+
+@query(f"with {_MEDOID} select source_id, id as proto_id, n as size from best")
+def proto_cmedoids_of_one(spark, sf_dir):
+    m = prototypes.aggregate_prototypes(X.publications(spark, sf_dir), "cmedoids@1")
+    return m.select("source_id", F.col("proto_ids")[0].alias("proto_id"), F.col("cluster_sizes")[0].cast("long").alias("size"))
+
+
+@query("select label::bigint source_id, vec_id::bigint as proto_id from embeddings")
+def proto_fps_of_all(spark, sf_dir):
+    """As many points as there are: every one is chosen, once."""
+    m = prototypes.aggregate_prototypes(X.publications(spark, sf_dir), "fps@1000000")
+    return m.select("source_id", F.explode("proto_ids").alias("proto_id"))
+
+
+@query("select source_id, k as proto, 1.0::double as norm, true as falling from (select distinct label::bigint source_id from embeddings), (select unnest([0, 1, 2])::int k)")
+def proto_pca_axes(spark, sf_dir):
+    """Axes of length 1, in falling order of their singular values."""
+    m = prototypes.aggregate_prototypes(X.publications(spark, sf_dir), "pca@3")
+    rows = m.select("source_id", F.posexplode("embeddings").alias("proto", "embedding"), "weights")
+    falling = F.forall(F.sequence(F.lit(1), F.size("weights") - 1), lambda i: F.get("weights", i) <= F.get("weights", i - 1))
+    return rows.select("source_id", "proto", _six(V.norm(F.col("embedding"))).alias("norm"), falling.alias("falling"))
+
+
+_UNIT_MODES = ("cosmean", "rm1pc", "softmax", "geom", "tmean", "winsor", "kmeans", "pcfuse", "svdshrink", "huber", "attn2", "subtrim")
+
+
+@query(f"select mode, source_id, n, dim, case when mode in {_UNIT_MODES} then 1.0::double end as norm from (select label::bigint source_id, count(*) n, max(len(embedding)) dim from embeddings group by all), (select unnest({sorted(A.AGGREGATORS)}) as mode)")
+def src_all_modes_shape(spark, sf_dir):
+    """Every mode's model: all sources, their ids, and length 1 where vectors are normalised."""
+    model = A.aggregate_sources(X.publications(spark, sf_dir)).withColumn("mode", F.regexp_extract("mode", "^[a-z0-9]+", 0))
+    norm = F.when(F.col("mode").isin(*_UNIT_MODES), _six(V.norm(F.col("embedding"))))
+    return model.select("mode", "source_id", F.size("ids").cast("long").alias("n"), F.size("embedding").cast("long").alias("dim"), norm.alias("norm"))
+
+
+@query("select distinct label::bigint source_id, 0.0::double as moved from embeddings")
+def src_huber_stands_still(spark, sf_dir):
+    """One more round from the centre of each source: it doesn't move."""
+    rows = A.unit_rows(X.publications(spark, sf_dir))
+    centres = A.AGGREGATORS["huber"](rows, (0.2,), 42, 10.0).select("source_id", F.col("embedding").alias("centre"))
+    d = 1 - V.dot(F.col("embedding"), F.col("centre"))
+    weighed = rows.join(centres, "source_id").withColumn("w", F.when(d <= 0.2, 1.0).otherwise(0.2 / (d + 1e-9)))
+    again = V.gather(V.elements(weighed, ["source_id"], carry=["w"]).groupBy("source_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x")), ["source_id"])
+    moved = F.zip_with(V.unit(F.col("embedding")), "centre", lambda a, b: a - b)
+    return again.join(centres, "source_id").select("source_id", (F.round(V.norm(moved), 3) + F.lit(0.0)).alias("moved"))
+
+
 # --- years ------------------------------------------------------------------------------------------------------------------
 
 _WINDOWS = X.BUCKETED.format(rows="meta")
@@ -148,7 +211,7 @@ def year_of_text(spark, sf_dir):
 
 
 def _index_sql(rows: str) -> str:
-    return f"""{X.PUBS}, train as (select * from units where id % 10 <> 0), q as (select id qid, greatest(2019, least(2023, y)) bucket, u from units where id % 10 = 0), {X.BUCKETED.format(rows=rows)}"""
+    return f"""{X.PUBS}, train as (select * from units), q as (select id qid, greatest(2019, least(2023, y)) bucket, u from units where id % 20 = 0), {X.BUCKETED.format(rows=rows)}"""
 
 
 _KNN = _index_sql("train") + ", scored as (select q.qid, w.id, list_inner_product(q.u, w.u) score from q join windows w using (bucket)), knn as (select *, row_number() over (partition by qid order by score desc, id) r from scored)"
@@ -165,7 +228,7 @@ def pub_topk_block(spark, sf_dir):
 
 
 def _knn(spark, sf_dir, k, method="auto"):
-    return rank.knn_by_bucket(X.held_out(spark, sf_dir), X.train(spark, sf_dir), k, method)
+    return rank.knn_by_bucket(X.queries(spark, sf_dir), X.publications(spark, sf_dir), k, method)
 
 
 _RANKED = (
@@ -177,8 +240,8 @@ ranked as (select qid, source_id, score, row_number() over (partition by qid ord
 
 
 def _rank_single(spark, sf_dir):
-    rows = X.train(spark, sf_dir)
-    return rank.rank_sources(X.held_out(spark, sf_dir), A.cosmean(rows), Y.allowed_sources(rows), 50, "sql")
+    rows = X.publications(spark, sf_dir)
+    return rank.rank_sources(X.queries(spark, sf_dir), A.cosmean(rows), Y.allowed_sources(rows), 50, "sql")
 
 
 @query(f"with {_RANKED} select qid, r as rank, source_id, round(score, 6) + 0.0 score from ranked where r <= 50")
@@ -194,7 +257,7 @@ def _metrics_sql(ranks: str) -> str:
 
 @query(f"with {_RANKED} {_metrics_sql('select p.id, coalesce(max(case when k.source_id = p.source_id then k.r end), 0) as rank from pubs p join ranked k on k.qid = p.id where k.r <= 20 group by p.id')}")
 def eval_metrics(spark, sf_dir):
-    """Held-out publications ranked against sources, scored against their own source."""
+    """Publications ranked against sources, scored against their own source."""
     runs = rank.as_runs(_rank_single(spark, sf_dir), "cosmean")
     results = enrich.runs_to_id_results(runs).withColumn("model", F.lit("cosmean"))
     out = evaluate.evaluate(results, evaluate.truth_of(X.publications(spark, sf_dir)))
@@ -202,8 +265,8 @@ def eval_metrics(spark, sf_dir):
 
 
 _PROTOS = (
-    _byyear(3).replace("from ux group by all", "from ux where id % 10 <> 0 group by all").replace("from units group by all", "from units where id % 10 <> 0 group by all")
-    + f""", train as (select * from units where id % 10 <> 0), q as (select id qid, greatest(2019, least(2023, y)) bucket, u from units where id % 10 = 0), {X.BUCKETED.format(rows='train')}, allowed as (select distinct bucket, source_id from windows),
+    _byyear(3)
+    + f""", train as (select * from units), q as (select id qid, greatest(2019, least(2023, y)) bucket, u from units where id % 20 = 0), {X.BUCKETED.format(rows='train')}, allowed as (select distinct bucket, source_id from windows),
 model as (select source_id, y, any_value(n) n, list(x order by i) v from protos group by source_id, y), scored as (select q.qid, m.source_id, 1.0::double p, list_inner_product(q.u, m.v) s from q join allowed using (bucket) join model m using (source_id))"""
 )
 _POOLS = {
@@ -215,11 +278,11 @@ _POOLS = {
 _POOLS["softmax_priors"] = _POOLS["softmax"]
 
 
-def _pooled(name: str):
+def _pooled(name: str, method: str):
     def run(spark, sf_dir):
-        rows = X.train(spark, sf_dir)
+        rows = X.publications(spark, sf_dir)
         model = prototypes.by_year(rows, 3).withColumn("weights", F.when(F.lit(name == "softmax_priors"), F.transform("year_counts", lambda n: n / 10.0)).otherwise(F.lit(None)))
-        ranked = rank.rank_prototypes(X.held_out(spark, sf_dir), prototypes.rows_of(model), Y.allowed_sources(rows), 50, name.split("_")[0], use_priors=name == "softmax_priors")
+        ranked = rank.rank_prototypes(X.queries(spark, sf_dir), prototypes.rows_of(model), Y.allowed_sources(rows), 50, name.split("_")[0], use_priors=name == "softmax_priors", method=method)
         return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "source_id", _six(F.col("score")).alias("score"))
 
     return run
@@ -227,7 +290,9 @@ def _pooled(name: str):
 
 for _name, _sql in _POOLS.items():
     _source = _PROTOS.replace("1.0::double p", "n / 10.0::double p") if _name == "softmax_priors" else _PROTOS
-    query(f"with {_source} select qid, row_number() over (partition by qid order by score desc, source_id) as rank, source_id, round(score, 6) + 0.0 score from ({_sql}) qualify rank <= 50", f"src_rank_pool_{_name}")(_pooled(_name))
+    _sql = f"with {_source} select qid, row_number() over (partition by qid order by score desc, source_id) as rank, source_id, round(score, 6) + 0.0 score from ({_sql}) qualify rank <= 50"
+    query(_sql, f"src_rank_pool_{_name}")(_pooled(_name, "sql"))
+    query(_sql, f"src_rank_pool_{_name}_block")(_pooled(_name, "block"))
 
 
 # --- hold-out and splits -----------------------------------------------------------------------------------------------------------
@@ -348,6 +413,93 @@ def jsonl_publications(spark, sf_dir):
     return rows.select("id", "source_id", "date_year", F.size("embedding").cast("long").alias("dim"))
 
 
+# --- files: written to the shared folder, and read back -----------------------------------------------------------------------------------
+
+
+def _written(spark, write, name: str) -> str:
+    path = sinks.fresh_path(spark, name)
+    write(path)
+    return path
+
+
+@query("select vec_id::bigint id, label::bigint source_id, (2017 + vec_id % 9)::int date_year, len(embedding) dim from embeddings")
+def file_publications(spark, sf_dir):
+    path = _written(spark, lambda p: sinks.json_lines(X.publications(spark, sf_dir).drop("pos"), p), "publications")
+    return jsonl.publications(spark, path).select("id", "source_id", "date_year", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("select vec_id::bigint id, label::bigint source_id, (2017 + vec_id % 9)::int date_year from embeddings where vec_id % 7 <> 3")
+def file_publications_gzip(spark, sf_dir):
+    """Compressed lines in one folder a source, every seventh cut off."""
+    rows = X.publications(spark, sf_dir).drop("pos", "embedding")
+    line = F.to_json(F.struct("*"))
+    cut = rows.select("source_id", F.when(F.col("id") % 7 == 3, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    path = _written(spark, lambda p: cut.withColumnRenamed("source_id", "of").write.partitionBy("of").option("compression", "gzip").text(p), "gzip")
+    return jsonl.read(spark, path, jsonl.METADATA, ("id", "source_id"), recursive=True).select("id", "source_id", "date_year")
+
+
+@query("select o_orderkey::bigint id from orders where o_orderkey % 3 = 0")
+def file_json_array(spark, sf_dir):
+    ids = X.metadata(spark, sf_dir).where("id % 3 = 0").select("id")
+    return jsonl.json_array(spark, _written(spark, lambda p: sinks.json_array(ids, p), "ids"))
+
+
+@query(f"with {X.META}, {_WINDOWS} select bucket, id, source_id from windows")
+def file_year_lines(spark, sf_dir):
+    """Raw lines into the folder of each bucket, and read from there."""
+    lines = X.metadata(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    path = _written(spark, lambda p: sinks.year_lines(lines, p), "years")
+    rows = spark.read.text(path).select("bucket", "value", F.lit(0).alias("pos"))
+    parsed = jsonl.parse(rows.select(F.concat(F.lit('{"bucket":'), "bucket", F.lit(","), F.substring("value", 2, 1 << 20)).alias("value")), (*jsonl.METADATA, ("bucket", "$.bucket", "int")), ("id", "source_id"))
+    return parsed.select("bucket", "id", "source_id")
+
+
+@query(f"with {X.META} select y as date_year, count(*) n, sum(id)::bigint ids from meta group by all")
+def file_partitioned(spark, sf_dir):
+    path = _written(spark, lambda p: sinks.partitioned(X.metadata(spark, sf_dir), p, "date_year", "parquet"), "partitioned")
+    return spark.read.parquet(path).groupBy("date_year").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"with {_RANKED} select 'cosmean' as model, qid as query_id, count(*) filter (r <= 50) as n, string_agg(source_id, ',' order by r) filter (r <= 50) as sources from ranked group by qid")
+def file_models_ranked(spark, sf_dir):
+    """A model file is found in its folder, told by its lines, and ranked."""
+    rows = X.publications(spark, sf_dir)
+    model = A.cosmean(rows).withColumn("ids", F.array().cast("array<bigint>"))
+    folder = sinks.fresh_path(spark, "models")
+    sinks.json_lines(model, f"{folder}/base_cosmean.jsonl")
+    runs = rank.rank_models(spark, folder, "base", X.queries(spark, sf_dir), Y.expect_sources(Y.allowed_sources(rows)))
+    return runs.select("model", "query_id", F.size("top").cast("long").alias("n"), F.array_join(F.col("top.source_id").cast("array<string>"), ",").alias("sources"))
+
+
+@query(f"with {_RANKED} {_metrics_sql('select p.id, coalesce(max(case when k.source_id = p.source_id then k.r end), 0) as rank from pubs p join ranked k on k.qid = p.id where k.r <= 20 group by p.id').replace(chr(39) + 'cosmean' + chr(39), chr(39) + 'journal/v1/cosmean' + chr(39))}")
+def file_tree_evaluated(spark, sf_dir):
+    """Predictions in a tree of tasks and versions, evaluated against the truth of their task."""
+    folder = sinks.fresh_path(spark, "tree")
+    sinks.json_lines(enrich.runs_to_id_results(rank.as_runs(_rank_single(spark, sf_dir), "cosmean")), f"{folder}/journal/v1_results/part")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    lines = spark.read.text(f"{folder}/journal/v1_results/part").coalesce(1)
+    lines.write.text(f"{folder}/one")
+    written = next(str(x.getPath()) for x in fs.globStatus(part(f"{folder}/one/part-*")))
+    fs.rename(part(written), part(f"{folder}/journal/v1_results/cosmean.jsonl"))
+    fs.delete(part(f"{folder}/journal/v1_results/part"), True)
+    out = evaluate.evaluate_tree(spark, folder, {"journal": evaluate.truth_of(X.publications(spark, sf_dir))})
+    return out.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in out.dtypes])
+
+
+@query(f"with {X.META} select b.bucket, coalesce(n, 0) as written from (select unnest([2019, 2020, 2021, 2022, 2023])::int bucket) b left join (select bucket, count(*) n from (select w.bucket from windows w) group by bucket) using (bucket) union all select null, count(*) from meta".replace("from windows w", f"from ({X.BUCKETED.format(rows='meta').split('windows as (')[1][:-1].replace('join buckets b', 'join (select unnest([2019, 2020, 2021, 2022, 2023]) bucket) b')}) w"))
+def count_years(spark, sf_dir):
+    return splits.year_counts(X.metadata(spark, sf_dir))
+
+
+@query("select count(*) as read, count(*) filter (n_nationkey % 7 in (0, 1)) as journal, count(*) filter (n_nationkey % 7 in (2, 3)) as conference, count(*) filter (n_nationkey % 7 > 3) as skipped from nation")
+def count_routing(spark, sf_dir):
+    types = F.lit(None).cast("string")
+    for i, t in enumerate(_TYPES):
+        types = F.when(F.col("n_nationkey") % 7 == i, F.lit(t)).otherwise(types)
+    return splits.routing_counts(X.table(spark, sf_dir, "nation").select(types.alias("source_type")))
+
+
 # --- fusion ------------------------------------------------------------------------------------------------------------------------------
 
 _HITS = _KNN + ", hits as (select k.qid, p.source_id, k.r, count(*) over (partition by k.qid) n from knn k join pubs p on p.id = k.id where k.r <= 50)"

@@ -23,12 +23,9 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def train(spark, sf_dir):
-    return publications(spark, sf_dir).where("id % 10 <> 0")
-
-
-def held_out(spark, sf_dir):
-    return publications(spark, sf_dir).where("id % 10 = 0")
+def queries(spark, sf_dir):
+    """The publications that are searched for, among all of them: those whose id is divisible by 20."""
+    return publications(spark, sf_dir).where("id % 20 = 0")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +35,9 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts, some blank, and names, some missing; a fifth of the documents has neither row."""
+    """Abstracts, some blank, and names, some missing."""
     d = table(spark, sf_dir, "documents")
-    return d.where("doc_id % 5 <> 0").select(
+    return d.select(
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 7 == 0, F.lit("  ")).otherwise(F.col("text")).alias("abstract"),
         F.when(F.col("doc_id") % 21 == 0, F.lit(None).cast("string")).otherwise(F.col("source")).alias("name"),
@@ -54,7 +51,7 @@ RAW = f"{PUBS}, rawx as (select source_id, unnest(e) x, generate_subscripts(e, 1
 UNIT = f"{PUBS}, ux as (select id, source_id, y, pos, unnest(u) x, generate_subscripts(u, 1) - 1 i from units)"
 BUCKETED = "buckets as (select unnest([2019, 2020, 2021, 2022, 2023]) bucket), windows as (select t.*, b.bucket from {rows} t join buckets b on t.y between greatest(2019, b.bucket - 3) and b.bucket)"
 META = "meta as (select o_orderkey::bigint id, o_custkey::bigint source_id, (year(o_orderdate) + 22)::int y from orders)"
-TEXTS = "pubtexts as (select doc_id id, case when doc_id % 7 = 0 then '  ' else text end abstract, case when doc_id % 21 = 0 then null else source end name from documents where doc_id % 5 <> 0)"
+TEXTS = "pubtexts as (select doc_id id, case when doc_id % 7 = 0 then '  ' else text end abstract, case when doc_id % 21 = 0 then null else source end name from documents)"
 
 
 def renormalised(cte: str, keys: str = "source_id") -> str:

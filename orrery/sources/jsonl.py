@@ -93,3 +93,20 @@ def find_models(spark: SparkSession, folder: str, prefix: str, exclude: str | No
     paths = [str(s.getPath()) for s in found]
     name = lambda p: p.rsplit("/", 1)[-1]
     return sorted((p for p in paths if not exclude or exclude not in name(p)), key=lambda p: (not name(p).startswith(prefix), name(p)))
+
+
+def resolve(spark: SparkSession, name: str, folders: tuple[str, ...] = (".",)) -> str:
+    """The file that a name stands for: itself, with .jsonl or .jsonl.gz behind it, or the first in one of the folders whose name begins like it. None is an error."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def first(pattern: str) -> str | None:
+        path = Path(pattern)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        return min((str(s.getPath()) for s in found if s.isFile()), default=None)
+
+    base = name.rsplit("/", 1)[-1]
+    patterns = [name + end for end in ("", ".jsonl", ".jsonl.gz")] + [f"{folder}/{base}*{end}" for folder in folders for end in (".jsonl", ".jsonl.gz")]
+    for pattern in patterns:
+        if path := first(pattern):
+            return path
+    raise FileNotFoundError(f"no file for {name!r}: tried {', '.join(patterns)}")

@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Used only by sessions of one machine that set no spark.checkpoint.dir (tests, a laptop).
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. Only a session of one machine may do without, and gets a local one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that they share")
+    return LOCAL_FOLDER
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def partitioned(df: DataFrame, path: str, by: str, format: str = "json", mode: str = "overwrite") -> None:
     """One folder a value: modes, models, kinds, buckets.."""

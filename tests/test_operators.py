@@ -95,6 +95,117 @@ def test_large_sources_get_the_same_vectors(spark, monkeypatch, mode):
     assert np.allclose([r["embedding"] for r in small], [r["embedding"] for r in large[:3]], atol=1e-5)
 
 
+def clustered(spark, sources=2, per=40):
+    """Four tight bundles a source, so that every start ends in the same clusters."""
+    r, rows = np.random.default_rng(3), []
+    for s in range(sources):
+        for j in range(4):
+            for _ in range(per // 4 + j):
+                e = r.normal(scale=0.01, size=6)
+                e[j] += 1
+                rows.append((len(rows), s, 2020, e))
+    return pubs(spark, rows)
+
+
+@pytest.mark.parametrize("name", ["kmeans@4", "cmedoids@4", "fps@4", "softk@4,30,10", "pca@3"])
+def test_large_sources_get_the_same_prototypes(spark, monkeypatch, name):
+    df = clustered(spark)
+    small = prototypes.aggregate_prototypes(df, name).orderBy("source_id").collect()
+    monkeypatch.setattr("orrery.operators.distributed.MAX_ROWS", 39)
+    large = prototypes.aggregate_prototypes(df, name).orderBy("source_id").collect()
+    assert len(large) == 2 and [r["ids"] for r in large] == [r["ids"] for r in small] and [r["method"] for r in large] == [r["method"] for r in small]
+    for a, b in zip(small, large):
+        x, y = np.array(a["embeddings"]), np.array(b["embeddings"])
+        if name.startswith("fps"):  # another start: the bundles are met all the same
+            assert sorted(x.argmax(1)) == sorted(y.argmax(1)) == [0, 1, 2, 3]
+            continue
+        order = lambda e: np.abs(e).argmax(1).argsort()
+        i, j = (range(3), range(3)) if name.startswith("pca") else (order(x), order(y))
+        assert np.allclose(x[i], y[j], atol=1e-6)
+        if a["weights"]:
+            assert np.allclose(np.array(a["weights"])[i], np.array(b["weights"])[j], atol=1e-6)
+        if a["cluster_sizes"]:
+            assert [a["cluster_sizes"][k] for k in i] == [b["cluster_sizes"][k] for k in j] and sum(b["cluster_sizes"]) == len(b["ids"])
+        if a["proto_ids"]:
+            assert [a["proto_ids"][k] for k in i] == [b["proto_ids"][k] for k in j]
+
+
+def test_largest_cluster_of_large_sources(spark, monkeypatch):
+    df = clustered(spark, 3)
+    monkeypatch.setattr("orrery.operators.distributed.MAX_ROWS", 39)
+    for r in aggregate.AGGREGATORS["kmeans"](df, (8.0,), 42, 10.0).collect():
+        assert np.isclose(np.linalg.norm(r["embedding"]), 1) and max(r["embedding"]) > 0.99
+
+
+def test_queries_in_several_passes_and_tiles(spark, monkeypatch):
+    df, _ = random_pubs(spark, 80)
+    want = rank.knn_by_bucket(df, df, 7, "sql").orderBy("qid", "rank").collect()
+    monkeypatch.setattr(rank, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(rank, "TILE_BYTES", 500)
+    got = rank.knn_by_bucket(df, df, 7, "block").orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["rank"], r["id"]) for r in got] == [(r["qid"], r["rank"], r["id"]) for r in want]
+    allowed = years.allowed_sources(df)
+    p = df.selectExpr("source_id", "embedding", "id / 100 as prior")
+    for pool in rank.POOLS:
+        a, b = (rank.rank_prototypes(df, p, allowed, 2, pool, use_priors=True, method=m).orderBy("qid", "rank").collect() for m in ("sql", "block"))
+        assert [(r["qid"], r["source_id"], round(r["score"], 9)) for r in a] == [(r["qid"], r["source_id"], round(r["score"], 9)) for r in b], pool
+    with pytest.raises(ValueError):
+        rank.rank_prototypes(df, p, allowed, pool="nonsense")
+
+
+def test_empty_index_and_no_years_are_errors(spark):
+    df = pubs(spark, [(1, 1, 1990, [1.0])])
+    with pytest.raises(ValueError):
+        rank.expect_index(df.where("false"))
+    with pytest.raises(ValueError):
+        years.expect_sources(years.allowed_sources(df))
+    assert rank.expect_index(df).count() == 1
+
+
+def test_all_models_of_a_folder(spark, tmp_path):
+    df, _ = random_pubs(spark, 60)
+    one = aggregate.aggregate_sources(df, "cosmean").select("source_id", "ids", "embedding")
+    many = prototypes.aggregate_prototypes(df, "byyear@2")
+    for name, model in (("base_cosmean", one), ("base_byyear", many), ("other_skip0.8", one)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(r + "\n" for r in model.toJSON().collect()))
+    (tmp_path / "notes.jsonl").write_text('{"x": 1}\n')
+    runs = rank.rank_models(spark, str(tmp_path), "base", df, years.allowed_sources(df), 2)
+    assert {r["model"]: r["n"] for r in runs.groupBy("model").agg(F.count("*").alias("n")).collect()} == {"cosmean": 60, "byyear": 60}
+    with pytest.raises(ValueError):
+        rank.rank_models(spark, str(tmp_path / "nothing"), "base", df, years.allowed_sources(df))
+
+
+def test_evaluation_of_a_tree(spark, tmp_path):
+    for task, version, name, rows in (("journal", "v1", "m", [(1, [5]), (2, [6, 5])]), ("journal", "v2", "m", [(1, [9])]), ("conference", "v1", "sub/x", [(3, [7])])):
+        path = tmp_path / task / f"{version}_results" / f"{name}.jsonl"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("".join(json.dumps({"id": i, "results": r}) + "\n" for i, r in rows))
+    truth = lambda rows: spark.createDataFrame(rows, "id bigint, truth bigint")
+    got = {r["model"]: (r["HR@1"], r["HR@3"], r["N_evaluated"]) for r in evaluate.evaluate_tree(spark, str(tmp_path), {"journal": truth([(1, 5), (2, 5)]), "conference": truth([(3, 7)])}).collect()}
+    assert got == {"journal/v1/m": (1, 2, 2), "journal/v2/m": (0, 0, 1), "conference/v1/x": (1, 1, 1)}
+    with pytest.raises(ValueError):
+        evaluate.evaluate_tree(spark, str(tmp_path), {"journal": truth([(1, 5)])})
+
+
+def test_counters_and_resolution(spark, tmp_path):
+    types = spark.createDataFrame([("Journal",), ("Conference & Proceedings",), ("Book",), (None,)], "source_type string")
+    assert splits.routing_counts(types).first().asDict() == {"read": 4, "journal": 1, "conference": 1, "skipped": 2}
+    counts = {r["bucket"]: r["written"] for r in splits.year_counts(spark.createDataFrame([(2019,), (2023,), (1999,), (None,)], "date_year int")).collect()}
+    assert counts == {2019: 1, 2020: 1, 2021: 1, 2022: 1, 2023: 1 + 0, None: 4}
+    (tmp_path / "texts_all.jsonl.gz").write_bytes(b"")
+    (tmp_path / "other.jsonl").write_text("")
+    found = lambda name: jsonl.resolve(spark, name, (str(tmp_path),)).rsplit("/", 1)[-1]
+    assert found("texts") == "texts_all.jsonl.gz" and found(f"{tmp_path}/other") == "other.jsonl" and found("nowhere/oth") == "other.jsonl"
+    with pytest.raises(FileNotFoundError):
+        found("missing")
+
+
+def test_draw_keys_of_large_ids(spark):
+    ids = [0, 1, 42, 3_470_000_000, 4_000_000_000, 2**62, 2**63 - 1, -5, -(2**63)]
+    got = spark.createDataFrame([(i,) for i in ids], "id bigint").select("id", splits.draw_key(F.col("id"), 42).alias("k")).collect()
+    assert all(r["k"] == (r["id"] * 2654435761 + 42) % 2**32 for r in got)
+
+
 def test_medoid_takes_the_first_of_equals(spark):
     df = pubs(spark, [(5, 1, 2020, [1, 0]), (6, 1, 2020, [1, 0]), (7, 1, 2020, [0, 1])])
     assert aggregate.medoid(df, with_id=True).first()["id"] == 5

@@ -11,7 +11,7 @@ def test_oracle(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(connect(), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"src_all_modes"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
