@@ -5,7 +5,8 @@ index maps each adjacent pair that has a rank to all its positions; ranks that a
 order, all positions of a rank are merged from left to right, and the lists of the neighbouring pairs are
 updated. A merge only makes pairs of higher rank than its own, so the order is the one that each piece alone would see.
 
-Null and empty texts give no ids and the empty decoded text. Texts of any length are taken whole; a piece is never cut.
+Null and empty texts give no ids and the empty decoded text. Texts of any length are taken whole; a piece is never cut. Equal rows give
+equal results, an empty table an empty one; extra columns are ignored. Of equal pairs the first from the left is merged first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import release, ship
+from orrery.llm.common import release, ship, spread
 
 #: Fixed value: how byte-level BPE vocabularies of this family cut text into pieces.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -197,7 +198,7 @@ def _gathered(df: DataFrame, id_col: str, text_col: str, path: str | None, schem
         del codec
         release()
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

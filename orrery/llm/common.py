@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import orrery
+from orrery.sources.sinks import fresh_path, shared_dir
 
-#: Used only where the session sets no spark.checkpoint.dir (tests, a laptop).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Folders that materialise() has written in the scope at hand, if there is one.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own checkpoint folder. Only a session of one machine may do without, and gets a local one."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that they share")
-    return LOCAL_CHECKPOINTS
-
-
 def materialise(df: DataFrame, hint: str = "part", narrow: bool = False) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation.
 
@@ -39,19 +32,45 @@ def materialise(df: DataFrame, hint: str = "part", narrow: bool = False) -> Data
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_dir(spark)}/orrery/{hint}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, hint)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialised frames that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
+        ours = f"{shared_dir(df.sparkSession).removeprefix('file:').rstrip('/')}/orrery/".replace("//", "/")
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/orrery/" in folder:
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if ours in folder.replace("//", "/"):
+                _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """A scope at whose end all that was materialised inside is deleted, but for names added to the set it gives (the hints of materialise())."""
+    token, kept = _MADE.set([]), set()
+    try:
+        yield kept
+    finally:
+        made = _MADE.get() or []
+        _MADE.reset(token)
+        for path in made:
+            if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in kept:
+                _delete(spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt out among all: a file may be no more than one task's work, however long its texts take."""
+    files, cores = len(df._jdf.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
 
 
 #: Bits of the filter on ids: 2048 bitmaps of 4 kB, 8 MB in all, whatever the number of ids.

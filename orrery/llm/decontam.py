@@ -7,7 +7,8 @@ follow each other in one such position only the first is verified. Word equality
 best-scoring stretch (a match counts 1, a substitution -SUBSTITUTION_COST), which is reported if long and equal enough.
 
 Items of fewer than MIN_WORDS words are never reported. Items with equal words count as one, under the smallest item_id.
-Null or empty texts overlap with nothing; repeated documents give the same rows once; extra columns are ignored.
+Null or empty texts overlap with nothing; texts of any length are taken whole; repeated documents give the same rows once; an empty
+table gives an empty result; extra columns are ignored. Of equally good stretches of a document and item the first stands.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, without_ids
+from orrery.llm.common import materialise, spread, without_ids
 
 MASKS = ("110101101", "101100111", "111010011", "110011011")
 #: A reported overlap has at least so many equal words, and this share of its words equal.
@@ -91,7 +92,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     known = items(benchmark)
     n_windows = known.select(F.sum(F.greatest(F.size("_words") - len(MASKS[0]) + 1, F.lit(0))) * len(MASKS)).first()[0] or 0
     blocks = max(1, math.ceil(n_windows / BLOCK_WINDOWS))
-    texts = docs.select(F.col(id_col).alias("_doc"), words(F.col(text_col)).alias("_dw")).where(F.col("_doc").isNotNull())
+    texts = spread(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t"))).select("_doc", words(F.col("_t")).alias("_dw")).where(F.col("_doc").isNotNull())
     seeds = _seeds(texts, "_dw", "_p")
     out = None
     for b in range(blocks):

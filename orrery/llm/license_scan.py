@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows
+from orrery.llm.common import map_rows, spread
 
 #: Phrases counted exactly, and their labels. Fixed values of the query's contract.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -162,4 +162,4 @@ def scan(docs: DataFrame, notices=NOTICES, phrases=PHRASES, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<start:int,end:int,label:string,errors:int>>"
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), make, schema)
+    return map_rows(spread(docs.select(F.col(id_col), F.col(text_col))), make, schema)

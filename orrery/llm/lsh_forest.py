@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import discard, map_rows, materialise, maybe_among, release, without_ids
+from orrery.llm.common import discard, map_rows, materialise, maybe_among, release, spread, without_ids
 
 TREES = 20
 DEPTH = 8
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)), make, f"doc {kind}, t bigint, n int, fp binary, sig binary")
+    return map_rows(spread(docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col))), make, f"doc {kind}, t bigint, n int, fp binary, sig binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows
+from orrery.llm.common import map_rows, spread
 
 #: Kinds of base spans, in the order of ties; the field's own kinds follow.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -517,7 +517,7 @@ def scan(docs: DataFrame, crf: SemiCRF | None = None, id_col: str = "doc_id", te
 
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in (*KINDS, "spans"))
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), make, f"{id_col} {kind}, {counts}, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string>>")
+    return map_rows(spread(docs.select(F.col(id_col), F.col(text_col))), make, f"{id_col} {kind}, {counts}, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string>>")
 
 
 def redact_text(text: str, spans) -> str:
@@ -548,4 +548,4 @@ def redact(docs: DataFrame, crf: SemiCRF | None = None, text_col: str = "text",
         return f
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(docs, make, schema)
+    return map_rows(spread(docs), make, schema)

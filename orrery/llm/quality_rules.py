@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import spread
+
 #: White space between words: \x20, \x09-\x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -114,7 +116,7 @@ def _covered(words: Column, width: int) -> Column:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and FEATURES' shares, of every whole text."""
     text = F.col("_t")
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    base = spread(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")))
     base = base.withColumn("_w", F.array_remove(F.split(text, SPACE), ""))
     base = base.withColumn("_l", F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != ""))
     counts = base.select(

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows, release, ship
+from orrery.llm.common import map_rows, release, ship, spread
 
 MAX_TRAINING = 8_000
 BITS = 18
@@ -178,7 +178,7 @@ def votes(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", tex
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = map_rows(docs.select(F.col(id_col), F.col(text_col)), make, f"{id_col} {kind}, " + ", ".join(f"{n} int" for n in names))
+    rows = map_rows(spread(docs.select(F.col(id_col), F.col(text_col))), make, f"{id_col} {kind}, " + ", ".join(f"{n} int" for n in names))
     if labels is None:
         return rows.withColumns({n: F.lit(0) for n in GIVEN.values()})
     return rows.join(_given(labels, id_col), id_col, "left").fillna(0, list(GIVEN.values()))
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, bound: int = MAX_TRAINING, id
             patterns[key] = patterns.get(key, 0) + r["count"]
         prior[task], accuracy[task], posterior[task] = expectation_maximisation(sorted(patterns.items()))
 
-    source = docs.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull())
+    source = spread(docs.select(F.col(id_col), F.col(text_col))).where(F.col(id_col).isNotNull())
     ids = source.select(id_col).distinct()
     smallest = lambda df, n: df.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(n)
     if labels is not None:
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return f
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), make, f"{id_col} {kind}, quality double, clean double, kept boolean")
+    return map_rows(spread(docs.select(F.col(id_col), F.col(text_col))), make, f"{id_col} {kind}, quality double, clean double, kept boolean")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -333,4 +333,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         del reader
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -432,3 +432,25 @@ def test_filter_by_ids(spark):
     assert {r["doc_id"] for r in inside.collect()} == want and inside.count() + outside.count() == df.count()
     assert outside.where("doc_id is null").count() == 1 and not want & {r["doc_id"] for r in outside.collect()}
     assert common.with_ids(df, ids.limit(0), "doc_id").count() == 0 and common.without_ids(df, ids.limit(0), "doc_id").count() == df.count()
+
+
+def test_scratch_folders_are_deleted(spark):
+    from orrery.llm import common
+
+    df = spark.range(10)
+    with common.scratch(spark) as kept:
+        kept.add("kept")
+        a, b = common.materialise(df, "kept"), common.materialise(df, "other")
+        gone = b.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert a.count() == 10 and not os.path.exists(gone)
+
+
+def test_one_file_is_spread_over_all_cores(spark, tmp_path):
+    from orrery.llm import common
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert common.spread(one).select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
+    assert common.spread(spark.range(5)).count() == 5
