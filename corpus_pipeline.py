@@ -1,7 +1,9 @@
 """From raw documents to token ids: classify, remove near duplicates and benchmark passages, redact, encode.
 
 Each stage takes (spark, docs, sf_dir) and gives the rows that it keeps with the columns of documents; the last gives token ids.
-Stages treat null texts as empty ones, ignore columns they don't know, and give an empty result for an empty table.
+Stages treat null texts as empty ones, take texts of any length whole, keep columns they don't know, and give an empty result for an
+empty table. Rows that repeat an id are judged by their own texts, but go or stay together in the stages on pairs; of near duplicates the
+smallest id stays, and rows without an id stay in every stage on pairs.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, decontam, lsh_forest, pii, weak_label
-from orrery.llm.common import materialise, table
+from orrery.llm.common import discard, materialise, scratch, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage wrote besides is deleted after it."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            kept.add(name)
+            before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
