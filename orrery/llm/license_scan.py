@@ -49,8 +49,8 @@ CHARS_AN_ERROR = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: What is one blank in the flat text: an end of line with the mark of a comment behind it, or white space.
-GAP = re.compile(r"\s*\n[ \t]*(?:(?:[*#;>%|]+|//+|--+)(?=\s|$)[ \t]*)?|[ \t\r\f\v]+")
+#: What becomes one blank in the flat text: ends of lines with the mark of a comment behind them, or other white space than one blank.
+GAP = re.compile(r"(?=[\n\t\r\f\v]| \s)(?:(?:\s*\n[ \t]*(?:(?:[*#;>%|]+|//+|--+)(?=\s|$)[ \t]*)?)+|[ \t\r\f\v]+)")
 
 
 class Flat:
@@ -67,7 +67,7 @@ class Flat:
                 at = m.end()
                 self.flat.append(size)
                 self.text.append(at)
-            elif low[m.start()] != " ":
+            else:
                 pieces.append(low[at : m.start()])
                 size += m.end() - at
                 at = m.end()
@@ -143,7 +143,8 @@ class Scanner:
         return sorted(kept)
 
     def scan(self, text: str | None):
-        low = (text or "").translate(LOWER)
+        low = text or ""
+        low = low.lower() if low.isascii() else low.translate(LOWER)
         starts = self.words(low) if low else np.zeros(0, np.int64)
         base = self.exact(low)
         found = self.approximate(low)
