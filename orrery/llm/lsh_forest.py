@@ -57,8 +57,8 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_A = _odd(N_HASHES, SEED)[:, None]
-_B = _odd(N_HASHES, SEED + 1)[:, None]
+_A = _odd(N_HASHES, SEED)[:, None].astype(np.uint32) | np.uint32(1)
+_B = (_odd(N_HASHES, SEED + 1)[:, None] >> np.uint64(32)).astype(np.uint32)
 _WORD = _odd(16, SEED + 2)
 
 
@@ -87,11 +87,11 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values (uint32) of a set that isn't empty."""
-    low = np.full(N_HASHES, 0xFFFFFFFF, np.uint64)
-    for s in range(0, len(shingles), 4096):
-        low = np.minimum(low, ((shingles[None, s : s + 4096] * _A + _B) >> np.uint64(32)).min(axis=1))
-    return low.astype(np.uint32)
+    """MinHash values of a set that isn't empty: of each permutation x -> a x + b of the shingles' upper 32 bits, the least."""
+    low, upper = np.full(N_HASHES, 0xFFFFFFFF, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for s in range(0, len(upper), 1024):
+        low = np.minimum(low, (upper[None, s : s + 1024] * _A + _B).min(axis=1))
+    return low
 
 
 def _orders() -> np.ndarray:
@@ -334,9 +334,12 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
     shallow = regions(labelled)
     open_shallow = materialise(_open(shallow), "open", narrow=True)
     members = shallow.join(open_shallow.where(F.col("m") <= CROWD), "prefix").drop("m")
-    crowded = materialise(shallow.join(open_shallow.where(F.col("m") > CROWD), "prefix").select("cid").distinct(), "crowded", narrow=True)
-    deep = regions(labelled.join(crowded, "cid", "left_semi"), deep=True)
-    members = materialise(members.unionByName(deep.join(_open(deep), "prefix").drop("m")), "members", narrow=True)
+    large = open_shallow.where(F.col("m") > CROWD)
+    if not large.isEmpty():
+        crowded = shallow.join(large, "prefix").select("cid").distinct()
+        deep = materialise(regions(labelled.join(crowded, "cid", "left_semi"), deep=True), "deep", narrow=True)
+        members = members.unionByName(deep.join(_open(deep), "prefix").drop("m"))
+    members = materialise(members, "members", narrow=True)
     dealt = materialise(_dealt(members), "dealt", narrow=True)
     columns = ["prefix", "b1", "b2", "role", "cid", "comp", "n", "sketch", "wide"]
     sorted_ = lambda df: df.repartition("prefix", "b1", "b2").sortWithinPartitions("prefix", "b1", "b2")
@@ -380,7 +383,7 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
         release()
 
     links = materialise(told.mapInArrow(verified, "a bigint, b bigint"), "links")
-    discard(open_shallow, crowded, members, dealt, alike)
+    discard(open_shallow, members, dealt, alike)
     return links
 
 
