@@ -25,7 +25,7 @@ from orrery.llm.common import release, ship, spread
 #: Fixed value: how byte-level BPE vocabularies of this family cut text into pieces.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids are remembered in a task, about 250 bytes each; when full the memory starts afresh.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Texts are gathered until they hold so many new pieces, so that the index works on many pieces at once.
 GATHERED_TEXTS = 128
 
