@@ -323,7 +323,7 @@ def _with_values(dealt: DataFrame, labelled: DataFrame) -> DataFrame:
         return f
 
     values = map_rows(labelled.join(dealt.select("cid").distinct(), "cid", "left_semi").select("cid", "comp", "n", "sig"), make, "cid bigint, comp bigint, n int, sketch binary, wide binary")
-    return dealt.join(values, "cid").select("prefix", "b1", "b2", "role", "cid", "comp", "n", "sketch", "wide")
+    return dealt.join(values.hint("merge"), "cid").select("prefix", "b1", "b2", "role", "cid", "comp", "n", "sketch", "wide")
 
 
 def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int) -> DataFrame:
@@ -355,7 +355,7 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
 
     alike = materialise(sorted_(_with_values(dealt, labelled)).mapInArrow(near, "prefix binary, b1 int, b2 int, role int, cid bigint, comp bigint, n int, sketch binary, wide binary"), "alike")
     texts = texts_of(source, classes, alike.select("cid").distinct())
-    told = sorted_(alike.join(texts, "cid").select(*columns, "text"))
+    told = sorted_(alike.join(texts.hint("merge"), "cid").select(*columns, "text"))
 
     def verified(batches):
         for (prefix, _, _), rows in _groups(batches, 3):
@@ -391,10 +391,13 @@ def open_links(classes: DataFrame, comps: DataFrame, source: DataFrame, k: int)
 
 
 def texts_of(source: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, text of the wanted classes. Most other texts are dropped before they are shuffled."""
+    """cid, text of the wanted classes. Most other texts are dropped before they are shuffled.
+
+    Here and wherever texts or signatures are joined they are merged, never broadcast: Spark would go by their compressed size, which bounds nothing.
+    """
     keys = classes.select("cid", "doc", "t").join(wanted, "cid", "left_semi")
     told = maybe_among(source, keys, ["doc", "t"]).groupBy("doc", "t").agg(F.first("text").alias("text"))
-    return told.join(keys, ["doc", "t"]).select("cid", "text")
+    return told.hint("merge").join(keys, ["doc", "t"]).select("cid", "text")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -411,8 +414,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
         return f
 
-    first = pairs.select("a", "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("s")), "a")
-    both = first.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    first = pairs.select("a", "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("s")).hint("merge"), "a")
+    both = first.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t")).hint("merge"), "b").select("a", "b", "s", "t")
     return map_rows(both, make, "a bigint, b bigint")
 
 
