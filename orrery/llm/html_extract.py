@@ -1,16 +1,18 @@
-"""Main text of web pages: markup decides where it can, a host's suffix arrays decide the rest.
+"""Main text of web pages: a host's suffix arrays find what its pages repeat, markup checks what of it may go.
 
 A page is cut into blocks. Content is what stands in an article, or in main where there is no article or where main holds more text
 outside its articles than inside. In content, blocks in menus, footers, adverts, forms, comments and the like are dropped: by their tag, or
 by a class that has such a name for all it says (`ad`, `share-buttons`). A block whose class only has such a word among others
 (`notice-period`, `related-work`) is doubtful, and so are all other blocks of a page without article and main. Text inside a line is never dropped by a class.
 
-Doubtful blocks are left to the suffix arrays: the frame of a page (all blocks that aren't content, and the doubtful ones) is one token
-stream. The pages of a host are dealt into groups of bounded size; in each group a suffix array over the concatenated streams puts
-equal substrings side by side, and gives the runs of RUN tokens and the number of distinct pages that hold them; these numbers are
-summed over the groups of the host. What any repeated substring of RUN tokens or more covers is what its runs of RUN tokens cover, so
-the arrays need no sorting beyond that depth. Tokens of doubtful blocks inside a run that MIN_PAGES or more distinct frames of the host
-share are boilerplate; the other tokens stay, in page order.
+Every page goes through the suffix arrays of its host. The frame of a page (all blocks that aren't content, and the doubtful ones) is one
+token stream. The pages are dealt into groups of bounded size; in each group a suffix array with LCP over the concatenated streams of a
+host puts equal substrings side by side: suffixes with an LCP of RUN tokens or more between neighbours hold one run, and the number of
+distinct frames among them is summed over the groups. A stretch of a block is boilerplate if runs that MIN_PAGES or more distinct frames of
+the host share cover it (what any longer repeated substring covers is what its runs cover). All content of all pages is searched for such stretches: those of
+doubtful blocks are cut (n_cut words). Then follows the check by markup: an article has to be returned whole, also where it cites what
+frames say or where other pages' sidebars show its headline or teaser, so stretches of sure blocks stay, and are counted (n_repeated words).
+Which pages may hold a shared run is told by a filter of fixed size; what it lets through is joined.
 
 A null page is an empty one, with empty text. Copies of one frame count once, so that copied pages don't remove each other. Pages of any
 length are taken whole. Repeated rows give repeated results; empty tables give empty ones; extra columns are ignored.
@@ -20,20 +22,24 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import itertools
 import re
+import zlib
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_rows, materialise, ship, spread
+from orrery.llm.common import BITMAP_BITS, FILTER_BITS, map_rows, materialise, ship, spread
 from orrery.llm.url_filter import split_url
 
 #: Tokens of the shortest run that can be boilerplate, and how many distinct frames of a host must share it.
 RUN = 8
 MIN_PAGES = 3
-#: Frames in one suffix array, about.
+#: Frames of one group and their tokens, about; each host has its own suffix array in a group.
 GROUP_PAGES = 2000
+GROUP_TOKENS = 500_000
 
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|[^<]++|<",
@@ -164,8 +170,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_page(page: str | None) -> tuple[str, list[tuple[bool, str]], list[str]]:
-    """Text of a page without doubtful blocks; else its blocks, and whether each is sure; the frame's tokens (with a mark between blocks)."""
+def page_parts(page: str | None) -> tuple[list[tuple[bool, str]], list[str]]:
+    """Content blocks of a page, and whether each is sure by its markup; the frame's tokens (with a mark between blocks)."""
     found = blocks(page or "")
     size = {"article": 0, "main": 0, "open": 0, JUNK: 0}
     for z, t in found:
@@ -180,33 +186,68 @@ def read_page(page: str | None) -> tuple[str, list[tuple[bool, str]], list[str]]
             parts.append((sure, t))
         if not sure or place not in content:
             frame += [*t.split(" "), "\x00"]
+    return parts, frame
+
+
+def read_page(page: str | None) -> tuple[str, list[tuple[bool, str]], list[str]]:
+    """What markup alone says of a page: its text if all blocks are sure, else its blocks; the frame's tokens. No result is made of this."""
+    parts, frame = page_parts(page)
     if all(sure for sure, _ in parts):
         return " ".join(t for _, t in parts), [], frame
     return "", parts, frame
 
 
-def suffix_groups(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the stream sorted to `depth` tokens (a power of two), and the class of each suffix among equal prefixes.
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the stream, and its LCP: how many tokens each suffix has in common with the one before it (0 for the first).
 
-    Prefix doubling: classes of prefixes of length h pair up to those of length 2h.
+    Prefix doubling: classes of prefixes of length h pair up to those of length 2h, until no two suffixes are alike. The classes of all
+    lengths then tell the LCP, from the longest to the shortest.
     """
     n = len(tokens)
     _, rank = np.unique(tokens, return_inverse=True)
-    h = 1
-    while h < depth:
-        second = np.full(n, -1, np.int64)
-        second[: n - h] = rank[h:] if h < n else rank[:0]
-        _, rank = np.unique(rank.astype(np.int64) * (n + 2) + second + 1, return_inverse=True)
-        h *= 2
-    return np.argsort(rank, kind="stable"), rank
+    levels = [rank.astype(np.int32)]
+    while rank.max() < n - 1:
+        h = 1 << (len(levels) - 1)
+        second = np.zeros(n, np.int64)
+        second[: n - h] = rank[h:] + 1
+        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + second, return_inverse=True)
+        levels.append(rank.astype(np.int32))
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    lcp = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        same = levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
+        same &= (a < n) & (b < n)
+        a[same] += 1 << k
+        b[same] += 1 << k
+    lcp[1:] = a - order[:-1]
+    return order, lcp
 
 
 def window_key(tokens: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\x01".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def shared_runs(frames: list[list[str]], depth: int = RUN) -> dict[int, int]:
-    """Key of each run of `depth` tokens inside blocks: the number of frames that hold it."""
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray, depth: int) -> np.ndarray:
+    """A quick hash of the run of `depth` words at each place that has one, from hashes of the words; only the filter uses it."""
+    n = max(len(hashes) - depth + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for j in range(depth if n else 0):
+        out *= MULTIPLIER
+        out += hashes[j : n + j]
+    return out
+
+
+def counted_runs(frames: list[list[str]], depth: int = RUN) -> list[tuple[int, int, int]]:
+    """Key and quick hash of each run of `depth` tokens inside blocks, and the number of frames that hold it."""
     ids: dict[str, int] = {}
     stream, owner = [], []
     for p, frame in enumerate(frames):
@@ -216,83 +257,153 @@ def shared_runs(frames: list[list[str]], depth: int = RUN) -> dict[int, int]:
             owner.append(p)
     n = len(stream)
     if n < depth:
-        return {}
+        return []
     tokens, owner = np.array(stream), np.array(owner)
-    order, rank = suffix_groups(tokens, depth)
+    order, lcp = suffix_array(tokens)
     marks = np.concatenate(([0], np.cumsum(tokens < 0)))
     inside = np.zeros(n, bool)
     inside[: n - depth + 1] = marks[depth:] == marks[: n - depth + 1]
+    alike = np.cumsum(lcp < depth)[inside[order]]  # one number for neighbours with so much in common
     order = order[inside[order]]
-    words = list(ids)
-    out = {}
-    r, o = rank[order], owner[order]
-    starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else []
-    for s, e in zip(starts, [*starts[1:], len(r)]):
-        i = order[s]
-        out[window_key([words[t] for t in tokens[i : i + depth]])] = len(set(o[s:e].tolist()))
-    return out
+    if not len(order):
+        return []
+    held = np.unique(alike * len(frames) + owner[order]) // len(frames)  # one entry for a run and a frame that holds it
+    _, counts = np.unique(held, return_counts=True)
+    _, first = np.unique(alike, return_index=True)
+    words, at = list(ids), order[first]
+    hashes = np.append(word_hashes([w.encode("utf-8", "surrogatepass") for w in words]), np.uint64(0))
+    quick = run_hashes(hashes[np.maximum(tokens, -1)], depth)[at].view(np.int64)
+    runs = tokens[at[:, None] + np.arange(depth)]
+    return [(window_key([words[t] for t in run.tolist()]), q, c) for run, q, c in zip(runs, quick.tolist(), counts.tolist())]
+
+
+def shared_runs(frames: list[list[str]], depth: int = RUN) -> dict[int, int]:
+    """Key of each run of `depth` tokens inside blocks: the number of frames that hold it."""
+    return {run: n for run, _, n in counted_runs(frames, depth)}
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, host, text, parts (sure, text) and frame tokens of every page, as read_page gives them."""
+    """A key of the row, id, url, host, parts (sure, text) and frame tokens of every page, as page_parts gives them."""
     host, _ = split_url(F.col(url_col))
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.col(html_col).alias("_html"))
 
-    def read(i, u, h, page):
-        text, parts, frame = read_page(page)
-        return [(i, u, h, text, [{"sure": s, "text": t} for s, t in parts], frame)]
+    def make():
+        keys = itertools.count(TaskContext.get().partitionId() << 33)
+
+        def read(i, u, h, page):
+            parts, frame = page_parts(page)
+            return [(next(keys), i, u, h, [{"sure": s, "text": t} for s, t in parts], frame)]
+
+        return read
 
-    return map_rows(spread(rows), lambda: read, f"{id_col} {kind}, {url_col} {url_kind}, host string, text string, parts array<struct<sure:boolean,text:string>>, frame array<string>", chunk=200)
+    return map_rows(spread(rows), make, f"_key bigint, {id_col} {kind}, {url_col} {url_kind}, host string, parts array<struct<sure:boolean,text:string>>, frame array<string>", chunk=200)
 
 
 def boilerplate(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, run: keys of the runs that so many distinct frames of the host share."""
+    """host, run, quick: keys and quick hashes of the runs that so many distinct frames of the host share."""
     frames = parsed.where(F.size("frame") >= RUN).select("host", "frame", F.xxhash64("frame").alias("_f"))
-    n = frames.count()
-    groups = max(1, n // GROUP_PAGES)
+    n, tokens = frames.agg(F.count("*"), F.coalesce(F.sum(F.size("frame").cast("long")), F.lit(0))).first()
+    groups = max(1, n // GROUP_PAGES, tokens // GROUP_TOKENS)
     ship(parsed.sparkSession)
     dealt = frames.withColumn("_g", F.pmod(F.xxhash64("_f"), F.lit(groups)))
 
-    def runs(key, pdf):
+    def runs(pdf):
         import pandas as pd
 
-        found = shared_runs(list({tuple(f): None for f in pdf["frame"]}))
-        return pd.DataFrame({"host": key[0], "run": list(found), "n": list(found.values())}).astype({"run": "int64", "n": "int64"})
+        found = [(host, *x) for host, of in pdf.groupby("host", dropna=False)["frame"] for x in counted_runs(list({tuple(f): None for f in of}))]
+        return pd.DataFrame(found, columns=["host", "run", "quick", "n"]).astype({"host": "object", "run": "int64", "quick": "int64", "n": "int64"})
 
     # copies of a frame meet in one group, where they count once, so that the sum over groups counts distinct frames
     once = dealt.groupBy("host", "_g", "_f").agg(F.first("frame").alias("frame"))
-    counted = once.groupBy("host", "_g").applyInPandas(runs, "host string, run bigint, n bigint")
-    return counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages).select("host", "run")
+    counted = once.groupBy("_g").applyInPandas(runs, "host string, run bigint, quick bigint, n bigint")
+    return counted.groupBy("host", "run").agg(F.first("quick").alias("quick"), F.sum("n").alias("n")).where(F.col("n") >= min_pages).drop("n")
 
 
-def doubtful_runs(tokens: list[str]) -> list[tuple[int, int]]:
-    """(position, key) of every run in one doubtful block."""
-    return [(i, window_key(tokens[i : i + RUN])) for i in range(len(tokens) - RUN + 1)]
+#: Places in the filter for a shared run.
+PROBES = 4
+PLACE = FILTER_BITS - 1
+
+
+def run_filter(shared: DataFrame) -> np.ndarray:
+    """Bytes of a filter of FILTER_BITS bits that lets all shared runs of a host through, and few others."""
+    x = F.col("quick").bitwiseXOR(F.xxhash64("host"))
+    low, step = x.bitwiseAND(F.lit(PLACE)), F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(PLACE)).bitwiseOR(F.lit(1))
+    slots = shared.select(F.explode(F.array(*[(low + step * i).bitwiseAND(F.lit(PLACE)) for i in range(PROBES)])).alias("h"))
+    maps = slots.groupBy(F.floor(F.col("h") / BITMAP_BITS).cast("int").alias("m")).agg(F.bitmap_construct_agg(F.col("h") % BITMAP_BITS).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for m, bits in maps.collect():  # FILTER_BITS at most
+        out[m * BITMAP_BITS // 8 : (m + 1) * BITMAP_BITS // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def maybe_shared(texts: list[str], host_hash: int, bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """(block, position, key) of the runs of a page's blocks that the filter lets through."""
+    blocks = [t.encode("utf-8", "surrogatepass").split(b" ") for t in texts]
+    sizes = np.array([len(b) for b in blocks], np.int64)
+    words = list(itertools.chain.from_iterable(blocks))
+    if len(words) < RUN:
+        return []
+    x = run_hashes(word_hashes(words), RUN) ^ np.uint64(host_hash % (1 << 64))
+    at = np.arange(len(x))
+    for i in range(PROBES):
+        slot = (x & np.uint64(PLACE)) + (x >> np.uint64(32) & np.uint64(PLACE) | np.uint64(1)) * np.uint64(i) if i else x
+        slot = (slot & np.uint64(PLACE)).view(np.int64)
+        on = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+        at, x = at[on], x[on]
+        if not len(at):
+            return []
+    ends = np.cumsum(sizes)
+    block = np.searchsorted(ends, at, side="right")
+    inside = at + RUN <= ends[block]
+    return [(b, i - start, window_key([w.decode("utf-8", "surrogatepass") for w in words[i : i + RUN]])) for b, i, start in zip(block[inside].tolist(), at[inside].tolist(), (ends - sizes)[block[inside]].tolist())]
+
+
+def decided(parts: list[dict], hits: list[dict]) -> tuple[str, int, int]:
+    """Text of a page whose runs at `hits` are boilerplate; words cut; words that markup keeps though they are repeated."""
+    if not hits:
+        return " ".join(p["text"] for p in parts), 0, 0
+    covered = {(h["block"], h["at"] + k) for h in hits for k in range(RUN)}
+    kept, n_cut, n_repeated = [], 0, 0
+    for b, p in enumerate(parts):
+        words = p["text"].split(" ")
+        left = [w for k, w in enumerate(words) if (b, k) not in covered]
+        if p["sure"]:
+            n_repeated += len(words) - len(left)
+            left = words
+        n_cut += len(words) - len(left)
+        kept += left
+    return " ".join(kept), n_cut, n_repeated
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars of every page."""
+    """id, url, text, n_chars, n_cut, n_repeated of every page."""
     parsed = materialise(parse(pages, id_col, url_col, html_col), "pages")
-    settled = parsed.where(F.size("parts") == 0).select(id_col, url_col, "text")
-    doubtful = parsed.where(F.size("parts") > 0).withColumn("_key", F.monotonically_increasing_id())
-    # hosts without doubtful blocks need no arrays
-    shared = boilerplate(parsed.join(doubtful.select("host").distinct(), "host", "left_semi"))
-    places = map_rows(
-        doubtful.select("_key", "host", "parts"),
-        lambda: lambda k, h, ps: [(k, h, b, i, run) for b, p in enumerate(ps) if not p["sure"] for i, run in doubtful_runs(p["text"].split(" "))],
-        "_key bigint, host string, block int, at int, run bigint",
-    )
-    hits = places.join(shared, ["host", "run"]).groupBy("_key").agg(F.collect_list(F.struct("block", "at")).alias("hits"))
+    shared = materialise(boilerplate(parsed), "shared", narrow=True)
+    bits = parsed.sparkSession.sparkContext.broadcast(run_filter(shared))
+    kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
+    result = f"{id_col} {kind}, {url_col} {url_kind}, text string, n_cut bigint, n_repeated bigint"
 
-    def unique_runs():
-        def f(i, u, ps, hits):
-            covered = {(h["block"], h["at"] + k) for h in hits or [] for k in range(RUN)}
-            kept = (p["text"] if p["sure"] else " ".join(w for k, w in enumerate(p["text"].split(" ")) if (b, k) not in covered) for b, p in enumerate(ps))
-            return [(i, u, " ".join(t for t in kept if t))]
+    def searched(clear: bool):
+        def make():
+            filled = bits.value
 
-        return f
+            def f(key, i, u, host, hashed, parts):
+                runs = maybe_shared([p["text"] for p in parts], hashed, filled)
+                if clear:
+                    return [] if runs else [(i, u, *decided(parts, []))]
+                return [(key, i, u, host, parts, [{"block": b, "at": a, "run": r} for b, a, r in runs])] if runs else []
 
-    kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    freed = map_rows(doubtful.join(hits, "_key", "left").select(id_col, url_col, "parts", "hits"), unique_runs, f"{id_col} {kind}, {url_col} {url_kind}, text string")
-    return settled.unionByName(freed).withColumn("n_chars", F.length("text").cast("long"))
+            return f
+
+        return make
+
+    rows = parsed.select("_key", id_col, url_col, "host", F.xxhash64("host").alias("_hash"), "parts")
+    # pages without a shared run are done; only the others meet the shared runs
+    clear = map_rows(rows, searched(True), result)
+    maybe = f"_key bigint, {id_col} {kind}, {url_col} {url_kind}, host string, parts array<struct<sure:boolean,text:string>>, runs array<struct<block:int,at:int,run:bigint>>"
+    met = materialise(map_rows(rows, searched(False), maybe, chunk=200), "met")
+    places = met.select("_key", "host", F.explode("runs").alias("r")).select("_key", "host", "r.*")
+    hits = places.join(shared, ["host", "run"]).groupBy("_key").agg(F.collect_list(F.struct("block", "at")).alias("hits"))
+    told = map_rows(met.join(hits, "_key", "left").select(id_col, url_col, "parts", "hits"), lambda: lambda i, u, parts, hits: [(i, u, *decided(parts, hits or []))], result)
+    return clear.unionByName(told).select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_cut", "n_repeated")

@@ -40,7 +40,7 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_cut", "n_repeated")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +340,36 @@ def test_repeated_substrings_are_removed_like_brute_force(spark, monkeypatch):
     assert sum(len(t.split()) for t in parts.values()) < sum(len(re.sub("<[^>]*>", " ", h).split()) for *_, h in rows)
 
 
+@pytest.mark.parametrize("all_let_through", [False, True])
+def test_articles_go_through_the_suffix_arrays_of_their_host(spark, monkeypatch, all_let_through):
+    """Pages that markup alone could settle: the frames' shared runs are found in articles, whose text markup then keeps whole."""
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 7)  # several groups a host
+    if all_let_through:
+        monkeypatch.setattr(html_extract, "run_filter", lambda shared: np.full(html_extract.FILTER_BITS // 8, 255, np.uint8))
+    r = random.Random(22)
+    phrases = [[f"p{k}w{i}" for i in range(r.randint(6, 14))] for k in range(8)]
+    rows, pages = [], {}
+    for i in range(60):
+        frame, article = ([[f"own{i}x{b}y{k}" for k in range(r.randint(0, 3))] + r.choice(phrases) + r.choice(phrases) for b in range(r.randint(1, 3))] for _ in range(2))
+        host = f"h{i % 15 // 7}.org"
+        pages[i] = host, frame, article
+        rows.append((i, f"http://{host}/{i}", "".join(f"<footer>{' '.join(b)}</footer>" for b in frame) + f"<article>{''.join(f'<p>{chr(32).join(b)}</p>' for b in article)}</article>"))
+    n = html_extract.RUN
+    runs = lambda block: [tuple(block[a : a + n]) for a in range(len(block) - n + 1)]
+    frames = collections.defaultdict(set)
+    for host, frame, _ in pages.values():
+        frames[host].add(tuple(map(tuple, frame)))
+    held = {host: collections.Counter(x for f in of for x in {x for block in f for x in runs(block)}) for host, of in frames.items()}
+    want = {}
+    for i, (host, _, article) in pages.items():
+        covered = {(b, a + k) for b, block in enumerate(article) for a, x in enumerate(runs(block)) if held[host][x] >= html_extract.MIN_PAGES for k in range(n)}
+        text = " ".join(w for block in article for w in block)
+        want[i] = (text, len(text), 0, len(covered))
+    got = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id")
+    assert {i: (x[0]["text"], x[0]["n_chars"], x[0]["n_cut"], x[0]["n_repeated"]) for i, x in got.items()} == want
+    assert 0 < sum(x[3] for x in want.values()) < sum(len(x[0].split()) for x in want.values())
+
+
 def test_urls(spark):
     urls = {1: "http://WWW.Example.NET/en/x?y#z", 2: "https://a.example.net/", 3: "http://example.com/de/", 4: "http://example.com", 5: "http://x.org/fr/1", 6: "http://free-bets.example.com/x", 7: None, 8: "no scheme", 9: "http://badcasino.com/", 10: "http://notexample.net", 11: "x://y.net?q=/en/", 12: "http://e.com/a\nb"}
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in urls.items()], "page_id bigint, url string, host string, path string")

@@ -276,6 +276,17 @@ def test_pages(page, content, parts):
     assert (found[0], joined) == (content, parts)
 
 
+@pytest.mark.parametrize("n, letters", [(1, 1), (2, 1), (7, 1), (64, 1), (200, 2), (200, 5), (300, 300)])
+def test_suffix_array_and_lcp_like_brute_force(n, letters):
+    r = random.Random(n + letters)
+    tokens = [r.randrange(letters) - 1 for _ in range(n)]
+    order, lcp = html_extract.suffix_array(np.array(tokens))
+    assert order.tolist() == sorted(range(n), key=lambda i: tokens[i:])
+    for k in range(1, n):
+        a, b = tokens[order[k - 1] :], tokens[order[k] :]
+        assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_suffix_array_counts_runs_like_brute_force():
     r = random.Random(8)
     frames = [[r.choice("abc\x00") for _ in range(r.randint(0, 40))] for _ in range(12)]
